@@ -8,6 +8,16 @@ from tilewright.llm import sql
 from tilewright.llm.store import table
 
 
+def op1_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tilewright.llm.preference import format_pairs, replayed, turns
+
+    pairs = format_pairs(replayed(turns(table(spark, sf_dir, "conversations"))))
+    spans = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("-", x["start"], x["end"])), ";").alias(c)
+    return pairs.withColumns({c: spans(c) for c in ("chosen_mask", "rejected_mask")})
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tilewright.llm.quality import quality_table
 
@@ -39,6 +49,23 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), outputs=("n_words", "n_removed", "kept_sha256"))
 
 
+#: The query's key. A deployment passes its own secret.
+PSEUDONYM_KEY = "op8-query-key"
+
+
+def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewright.llm.pseudonym import pseudonymise
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymise(docs, PSEUDONYM_KEY, count="n_replaced")
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewright.llm.licenses import known_table, scan
+
+    return scan(table(spark, sf_dir, "documents"), known_table(spark)).select("doc_id", "digest", "license", "notices", "n_notice_lines")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -49,13 +76,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_preference_pairs": op1_preference_pairs,
     "op3_quality_rules": op3_quality_rules,
     "op4_token_ids": op4_token_ids,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_pseudonyms": op8_pseudonyms,
+    "op9_license_scan": op9_license_scan,
     "op10_token_counts": op10_token_counts,
 }
 
 SQL: dict[str, str] = {
+    "op1_preference_pairs": sql.OP1,
     "op3_quality_rules": sql.OP3,
+    "op9_license_scan": sql.op9(),
 }

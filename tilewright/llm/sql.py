@@ -1,5 +1,43 @@
 """SQL for DuckDB with the rows of the queries that SQL can express."""
 
+from tilewright.llm import licenses
+
+OP1 = """
+WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i
+           FROM (SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations)),
+a AS (SELECT conv_id, max(i) AS i, arg_max(text, i) AS good, CASE WHEN count(*) > 1 THEN arg_min(text, i) ELSE '' END AS bad FROM t WHERE role = 'assistant' GROUP BY conv_id),
+b AS (SELECT conv_id, good, bad, CASE WHEN good = bad THEN i ELSE i - 1 END AS n FROM a),
+p AS (SELECT b.conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY i) AS prompt
+      FROM b JOIN t ON t.conv_id IS NOT DISTINCT FROM b.conv_id AND t.i <= b.n GROUP BY b.conv_id)
+SELECT b.conv_id, CAST(n AS INTEGER) AS n_prefix_turns, coalesce(prompt, '') AS prompt,
+  CASE WHEN good = bad THEN '' ELSE '<|im_start|>assistant' || chr(10) || good || '<|im_end|>' || chr(10) END AS chosen,
+  CASE WHEN good = bad THEN '' ELSE '<|im_start|>assistant' || chr(10) || bad || '<|im_end|>' || chr(10) END AS rejected,
+  CASE WHEN good = bad THEN '' ELSE '22-' || (32 + length(good)) END AS chosen_mask,
+  CASE WHEN good = bad THEN '' ELSE '22-' || (32 + length(bad)) END AS rejected_mask
+FROM b LEFT JOIN p ON p.conv_id IS NOT DISTINCT FROM b.conv_id
+"""
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def op9() -> str:
+    form = f"trim(regexp_replace(regexp_replace(lower(TEXT), {_quoted(licenses.COPYRIGHT_LINE)}, '\\1', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    for a, b in licenses.SPELLINGS:
+        form = f"replace({form}, {_quoted(a)}, {_quoted(b)})"
+    digest = f"sha256(nullif({form}, ''))"
+    values = ", ".join(f"({_quoted(k)}, {_quoted(t)})" for k, t in licenses.known())
+    return f"""
+WITH k AS (SELECT {digest.replace("TEXT", "t")} AS digest, min(license) AS license FROM (VALUES {values}) v(license, t) GROUP BY 1),
+d AS (SELECT row_number() OVER () AS r, doc_id, text, {digest.replace("TEXT", "text")} AS digest FROM documents),
+l AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
+h AS (SELECT r, list_sort(list(DISTINCT license)) AS notices, count(*) AS n FROM (SELECT r, {digest.replace("TEXT", "line")} AS digest FROM l) x JOIN k USING (digest) GROUP BY r)
+SELECT doc_id, d.digest, k.license, coalesce(notices, []) AS notices, coalesce(h.n, 0) AS n_notice_lines
+FROM d LEFT JOIN k ON d.digest = k.digest LEFT JOIN h ON d.r = h.r
+"""
+
+
 OP3 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, lang, source, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
