@@ -34,6 +34,14 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(docs, read_definition(public_tokenizers.path("word_bpe_49k.json")), end_id=1).drop("ids")
 
 
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tilewright.llm.near_dup import classes
+
+    return classes(table(spark, sf_dir, "documents")).withColumn("is_kept", F.col("doc_id") == F.col("class_id"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -79,6 +87,7 @@ QUERIES = {
     "op1_preference_pairs": op1_preference_pairs,
     "op3_quality_rules": op3_quality_rules,
     "op4_token_ids": op4_token_ids,
+    "op5_near_dup": op5_near_dup,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_pseudonyms": op8_pseudonyms,
