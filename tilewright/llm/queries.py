@@ -18,6 +18,12 @@ def op1_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumns({c: spans(c) for c in ("chosen_mask", "rejected_mask")})
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewright.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tilewright.llm.quality import quality_table
 
@@ -85,6 +91,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_preference_pairs": op1_preference_pairs,
+    "op2_decontaminate": op2_decontaminate,
     "op3_quality_rules": op3_quality_rules,
     "op4_token_ids": op4_token_ids,
     "op5_near_dup": op5_near_dup,
