@@ -103,7 +103,7 @@ def _rounds(spark, cut: DataFrame, shared, overlap: int) -> DataFrame:
     after = got.select("row", (F.col("piece") - 1).alias("piece"), F.col("left").alias("next_left"))
     both = here.join(after, ["row", "piece"], "left")
     common = F.array_min(F.array_intersect(F.transform("right", lambda m: m["p"]), F.transform("next_left", lambda m: m["p"])))
-    at = lambda marks: F.filter(marks, lambda m: m["p"] == F.col("cut"))[0]["n"]
+    at = lambda marks: F.get(F.filter(marks, lambda m: m["p"] == F.col("cut")), F.lit(0))["n"]
     spliced = both.withColumn("cut", common).withColumn("up_to", F.when(F.col("last"), F.col("total")).otherwise(at("right"))).withColumn("from_next", F.when(F.col("last"), F.lit(0)).otherwise(at("next_left")))
     # tokens of a document: what each chunk has up to its splice, less what the next has before the same place
     return spliced.groupBy("row").agg(F.when(F.count(F.when(F.col("up_to").isNull() | F.col("from_next").isNull(), 1)) == 0, F.sum(F.col("up_to") - F.col("from_next"))).alias("n_tokens"))
