@@ -61,13 +61,14 @@ def format_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "reje
     """The other columns of ``pairs``, and n_prefix_turns, prompt, chosen, rejected, chosen_mask, rejected_mask."""
     made = {"n_prefix_turns", "prompt", "chosen", "rejected", "chosen_mask", "rejected_mask"}
     rest = [c for c in pairs.columns if c not in made | {chosen, rejected}]
-    both = pairs.select(*rest, _sound(chosen).alias("_a"), _sound(rejected).alias("_b"))
+    held = F.struct(*[pairs[c] for c in rest]) if rest else F.struct(F.lit(0))
+    both = pairs.select(held.alias("_rest"), _sound(chosen).alias("_a"), _sound(rejected).alias("_b"))
     same = F.array_position(F.zip_with("_a", "_b", lambda x, y: x.eqNullSafe(y)), F.lit(False))
     counted = both.withColumn("n_prefix_turns", F.when(same > 0, same - 1).otherwise(F.size("_a")).cast("int"))
     n = F.col("n_prefix_turns")
     after = lambda c: F.slice(c, n + 1, F.greatest(F.size(c) - n, F.lit(0)))
-    cut = counted.select(*rest, "n_prefix_turns", F.slice("_a", F.lit(1), n).alias("_p"), after("_a").alias("_a"), after("_b").alias("_b"))
-    return cut.select(*rest, "n_prefix_turns", render(F.col("_p")).alias("prompt"), render(F.col("_a")).alias("chosen"), render(F.col("_b")).alias("rejected"), mask(F.col("_a")).alias("chosen_mask"), mask(F.col("_b")).alias("rejected_mask"))
+    cut = counted.select("_rest", "n_prefix_turns", F.slice("_a", F.lit(1), n).alias("_p"), after("_a").alias("_a"), after("_b").alias("_b"))
+    return cut.select(*[F.col("_rest")[c].alias(c) for c in rest], "n_prefix_turns", render(F.col("_p")).alias("prompt"), render(F.col("_a")).alias("chosen"), render(F.col("_b")).alias("rejected"), mask(F.col("_a")).alias("chosen_mask"), mask(F.col("_b")).alias("rejected_mask"))
 
 
 def replayed(conversations: DataFrame, key: str = "conv_id") -> DataFrame:

@@ -26,7 +26,7 @@ its own class (digit, capital, small letter); other characters stay.
 DataFrame operations only, row by row, without a shuffle. Cases: a null text stays null, an
 empty one empty; what looks like a number but isn't valid stays as it is; texts of any
 length are cut at the finds and put together once; equal rows get equal results; an empty
-table gives an empty table; other columns of any name stay as they are.
+table gives an empty table; other columns stay as they are, but for one of the name given for the count.
 """
 
 from __future__ import annotations
@@ -260,5 +260,5 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str | Non
     parts = F.split(t, pattern, -1)
     whole = F.array_join(F.flatten(F.zip_with(parts, F.col(news), lambda p, m: F.array(p, F.coalesce(m, F.lit(""))))), "")
     changed = F.size(F.filter(F.arrays_zip(F.col(finds).alias("a"), F.col(news).alias("b")), lambda x: x["a"] != x["b"])).cast("bigint")
-    columns = [F.when(F.size(news) > 0, whole).otherwise(t).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    columns = [F.when(F.size(news) > 0, whole).otherwise(t).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c != count]
     return made.select(*columns, *([F.when(F.size(news) > 0, changed).otherwise(0).alias(count)] if count else []))
