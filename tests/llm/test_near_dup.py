@@ -96,13 +96,14 @@ def test_classes_against_all_pairs(spark):
     assert got == brute(rows)
 
 
-def test_strangers_meet(spark, monkeypatch):
-    """Buckets with several classes, and crowds of them: still every link."""
+@pytest.mark.parametrize("heads", [4, 1, 0])
+def test_strangers_meet(spark, monkeypatch, heads):
+    """Buckets with several classes, compared by heads, in blocks, or by blocks only: still every link."""
     rows = variants(6, 10)
-    for few in (16, 0):
-        monkeypatch.setattr(near_dup, "FEW", few)
-        got = Counter(map(tuple, near_dup.classes(spark.createDataFrame(rows, "doc_id bigint, text string"), least=0.93).collect()))
-        assert got == brute(rows, 0.93)
+    monkeypatch.setattr(near_dup, "HEADS", heads)
+    monkeypatch.setattr(near_dup, "MEMBERS", 3)
+    got = Counter(map(tuple, near_dup.classes(spark.createDataFrame(rows, "doc_id bigint, text string"), least=0.93).collect()))
+    assert got == brute(rows, 0.93)
 
 
 def test_awkward(awkward, nothing):
