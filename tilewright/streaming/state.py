@@ -39,7 +39,7 @@ def retries(events: DataFrame) -> DataFrame:
 
 
 def holds(events: DataFrame, seconds: int, late: str = "0 seconds") -> DataFrame:
-    """(key, start, last, n): sightings whose gaps are under ``seconds``, once the watermark has passed them."""
+    """(key, start, last, n): sightings whose gaps are ``seconds`` at most, once the watermark has passed them."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     by = timed.groupBy("key", F.session_window("ts", f"{seconds} seconds").alias("w"))
     return by.agg(F.min("ts").alias("start"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("n")).select("key", "start", "last", "n")
