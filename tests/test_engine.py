@@ -115,7 +115,8 @@ def test_near_pairs_against_all_pairs(spark):
 def star(rng, n, r0, r1):
     import math
 
-    return [((r0 + rng.random() * (r1 - r0)) * math.cos(2 * math.pi * i / n), (r0 + rng.random() * (r1 - r0)) * math.sin(2 * math.pi * i / n)) for i in range(n)]
+    far = [r0 + rng.random() * (r1 - r0) for _ in range(n)]
+    return [(r * math.cos(2 * math.pi * i / n), r * math.sin(2 * math.pi * i / n)) for i, r in enumerate(far)]
 
 
 def test_triangles_cover_the_polygon():

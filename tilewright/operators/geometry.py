@@ -120,7 +120,8 @@ def _bridged(ring: Ring, holes: list[Ring]) -> Ring:
         p = hole[i]
         loop = hole[i:] + hole[: i + 1]
         # the visible corner: of all corners, the nearest whose line to the hole crosses no edge
-        rank = sorted(range(len(ring)), key=lambda k: (ring[k][0] - p[0]) ** 2 + (ring[k][1] - p[1]) ** 2)
+        # (one that carries no bridge yet: there, which side of it to leave from would be open)
+        rank = sorted((k for k in range(len(ring)) if ring.count(ring[k]) == 1), key=lambda k: (ring[k][0] - p[0]) ** 2 + (ring[k][1] - p[1]) ** 2)
         edges = list(zip(ring, [*ring[1:], *ring[:1]], strict=True)) + [e for h in holes for e in zip(h, [*h[1:], *h[:1]], strict=True)]
         k = next((k for k in rank if not any(_cross(p, ring[k], a, b) for a, b in edges)), rank[0])
         ring = [*ring[: k + 1], *loop, *ring[k:]]
