@@ -193,8 +193,8 @@ def _scan(index: Index, texts: pa.Array, least: float) -> list[tuple[int, tuple]
         maybe = maybe[every[np.minimum(np.searchsorted(every, grams[maybe]), len(every) - 1)] == grams[maybe]]
         maybe = maybe[np.isin(maybe, at, assume_unique=True)]
         of = np.searchsorted(w.first, maybe, side="right") - 1
-        cut = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else []
-        for a, b in zip(cut, [*cut[1:], len(of)], strict=True):
+        cut = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])).tolist() if len(of) else []
+        for a, b in zip(cut, [*cut[1:], len(of)][: len(cut)], strict=True):
             hits.setdefault(int(of[a]), {})[width] = maybe[a:b] - w.first[of[a]]
     return [(d, m) for d in sorted(hits) for m in index.matches(w.hash[w.first[d] : w.first[d + 1]], hits[d], least)]
 
