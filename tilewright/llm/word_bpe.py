@@ -4,8 +4,9 @@ The file's pre-tokenizer drops white space and never joins characters across it,
 normaliser (NFC, lower case by character, white space runs to a space) never reaches
 across it either, and its special tokens hold none. So the ids of a text are those of
 its white-space separated chunks, put one after another. A chunk of lower-case letters
-that ends in stops or commas is in turn its letters, then its stops. Chunks are encoded
-by the library in bulk, and kept in a bounded table.
+that ends in marks is in turn its letters, then its marks (where all are below U+0250:
+none of these composes, or has a lower case that depends on its place). Chunks are
+encoded by the library in bulk, and kept in a bounded table.
 
 ``Encoder.checked`` proves these conditions on the file; a file that does not meet them
 is encoded text by text.
@@ -13,7 +14,6 @@ is encoded text by text.
 
 from __future__ import annotations
 
-import itertools
 import json
 import os
 import re
@@ -22,17 +22,25 @@ import numpy as np
 
 #: Chunks kept between batches by one Python worker. When full, the table starts anew:
 #: that costs time, never a result.
-KEPT = 600_000
+KEPT = 1_000_000
 #: Longer chunks aren't kept.
 LONG = 40
-_SPLIT = re.compile(r"([^\W\d_]+)([.,]+)\Z")
+#: Marks that may end a chunk of letters; a run of them is one piece to the file's pattern.
+MARKS = ".,;:!?|#$%&*)"
 #: White space to Python's split but not to the file's pattern.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
-def plain(word: str) -> bool:
-    """Letters below U+0250 only: none that composes, and none whose lower case depends on its place."""
-    return word.isalpha() and max(word) < "\u0250"
+class _Table(dict):
+    """Ids of chunks. One that isn't there gets an empty place, which is filled before it is read."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: dict[str, bytearray] = {}
+
+    def __missing__(self, chunk: str) -> bytearray:
+        place = self[chunk] = self.new[chunk] = bytearray()
+        return place
 
 
 class Encoder:
@@ -50,7 +58,7 @@ class Encoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
             self.ends[i] = token.endswith("</w>")
-        self.known: dict[str, bytes] = {}
+        self.known = _Table()
 
     @staticmethod
     def checked(definition: dict) -> bool:
@@ -89,29 +97,38 @@ class Encoder:
                 out.update((w, self.whole(w)) for w in some)
         return out
 
-    def learn(self, missing: set[str]) -> dict[str, bytes]:
-        """Ids of chunks, from their letters and stops where they are made of these."""
-        if len(self.known) > KEPT:
-            self.known.clear()
-        known, parts, odd = self.known, {}, []
-        for chunk in missing:
-            low = chunk.lower() if max(chunk) < "\u0250" else ""
-            if low and plain(low):
-                parts[chunk] = (low, "")
-            elif low and (found := _SPLIT.match(low)):
-                parts[chunk] = found.groups()
+    def learn(self) -> None:
+        """Fill the places of new chunks, from their letters and marks where they are made of these."""
+        table = self.known
+        new, table.new = table.new, {}
+        parts, words, odd = [], set(), []
+        for chunk, place in new.items():
+            low = chunk.lower() if chunk.isascii() or max(chunk) < "\u0250" else ""
+            word = low.rstrip(MARKS)
+            if word.isalpha():
+                parts.append((chunk, place, word, low[len(word) :]))
+                words.add(word)
             else:
                 odd.append(chunk)
-        fresh = {w for pair in parts.values() for w in pair if w and w not in known}
-        got = self._bulk(sorted(w for w in fresh if plain(w)))
-        got.update((w, self.whole(w)) for w in fresh if w not in got)
-        found = {c: got.get(a, known.get(a, b"")) + (got.get(b, known.get(b, b"")) if b else b"") for c, (a, b) in parts.items()}
-        found.update((c, self.whole(c)) for c in odd)
-        known.update((k, v) for k, v in itertools.chain(got.items(), found.items()) if len(k) <= LONG)
-        return found
-
-    def chunks(self, texts: list[str]) -> list[list[str]]:
-        return [t.split() for t in texts]
+        # a word that is known, and not just waiting for its own ids
+        have = {w: bytes(table[w]) for w in words if w in table and table[w]}
+        fresh = self._bulk(sorted(words.difference(have)))
+        have.update(fresh)
+        marks = {m: self.whole(m) if m else b"" for m in {x[3] for x in parts}}
+        for chunk, place, word, mark in parts:
+            place += have[word] + marks[mark]
+            if mark or chunk != word:
+                if word in fresh:  # a rare word: its other forms are rarer
+                    del table[chunk]
+                else:
+                    table[chunk] = bytes(place)
+        table.update((w, ids) for w, ids in fresh.items() if len(w) <= LONG)
+        for chunk, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+            new[chunk] += np.asarray(e.ids, "<u4").tobytes()
+            table[chunk] = bytes(new[chunk])
+        for chunk in new:
+            if len(chunk) > LONG:
+                table.pop(chunk, None)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, as bytes; a null text has none."""
@@ -124,23 +141,15 @@ class Encoder:
                 out[i] = self.whole(t)
             else:
                 rows.append(i)
-        split = self.chunks([texts[i] for i in rows])
-        table = self.lookup(split)
-        for i, words in zip(rows, split, strict=True):
-            out[i] = b"".join(map(table.__getitem__, words))
-        return out
-
-    def lookup(self, split: list[list[str]]) -> dict[str, bytes]:
-        """A table with the ids of every chunk in the lists."""
         if len(self.known) > KEPT:
-            self.known.clear()
-        missing = set(itertools.chain.from_iterable(split)).difference(self.known)
-        if not missing:
-            return self.known
-        found = self.learn(missing)
-        if all(len(c) <= LONG for c in missing):
-            return self.known
-        return self.known | found
+            self.known = _Table()
+        find = self.known.__getitem__
+        found = [list(map(find, texts[i].split())) for i in rows]
+        if self.known.new:
+            self.learn()
+        for i, parts in zip(rows, found, strict=True):
+            out[i] = b"".join(parts)
+        return out
 
 
 _MADE: dict[int, Encoder] = {}
