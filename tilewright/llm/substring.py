@@ -4,7 +4,7 @@
 2. Each batch hashes every window of ``width`` words (``kernel.windows``) and keeps, for
    each different hash, the smallest document that has it: however often a passage
    occurs, a batch sends its windows once. Hashes are dealt to buckets by other bits of
-   the hash, sized by the corpus, and sent as sorted binary runs of 8 bytes a window.
+   the hash, sized by the corpus, and sent in ascending order as differences, in bytes.
 3. A bucket sorts what it got, and tells each batch which of its hashes also start in
    another batch's smaller document.
 4. Batches meet their answers, hash again, mark the windows whose smallest document is
@@ -41,7 +41,7 @@ _LAST = np.int64(2**63 - 1)
 
 
 def batched(docs: DataFrame, size: int) -> DataFrame:
-    """(batch, doc_ids, texts): whole documents, about ``size`` bytes of them in a row."""
+    """(batch, docs): whole documents, about ``size`` bytes of text in a row, as one compressed Arrow stream (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -49,9 +49,10 @@ def batched(docs: DataFrame, size: int) -> DataFrame:
         held, n, number = [], 0, TaskContext.get().partitionId() << 32
 
         def row() -> pa.RecordBatch:
-            rows = pa.Table.from_batches(held).combine_chunks()
-            one = lambda c: pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows.column(c).combine_chunks() if rows.column(c).num_chunks != 1 else rows.column(c).chunk(0))
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), one("doc_id"), one("text")], names=["batch", "doc_ids", "texts"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(pa.Table.from_batches(held).combine_chunks())
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch", "docs"])
 
         for batch in pieces(batches, size):
             held.append(batch)
@@ -62,7 +63,12 @@ def batched(docs: DataFrame, size: int) -> DataFrame:
         if held:
             yield row()
 
-    return docs.mapInArrow(run, "batch bigint, doc_ids array<bigint>, texts array<string>")
+    return docs.select("doc_id", "text").mapInArrow(run, "batch bigint, docs binary")
+
+
+def _opened(docs: bytes) -> tuple[pa.Array, pa.Array]:
+    rows = pa.ipc.open_stream(docs).read_all().combine_chunks()
+    return tuple(rows.column(k).combine_chunks() if rows.column(k).num_chunks != 1 else rows.column(k).chunk(0) for k in ("doc_id", "text"))
 
 
 class _Batch:
@@ -95,15 +101,24 @@ def _unplanes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<i8").reshape(-1)
 
 
+def _steps(sorted_hashes: np.ndarray) -> bytes:
+    """Ascending hashes as their differences, whose high bytes are mostly 0."""
+    return _planes(np.diff(sorted_hashes, prepend=U(0)).view(np.int64))
+
+
+def _unsteps(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unplanes(raw).view(U), dtype=U)
+
+
 def _send(width: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for i in range(rows.num_rows):
-                b = _Batch(rows.column("doc_ids")[i].values, rows.column("texts")[i].values, width, buckets)
+                b = _Batch(*_opened(rows.column("docs")[i].as_py()), width, buckets)
                 full = np.flatnonzero(np.diff(b.begin))
                 out = [b.by_bucket[b.begin[k] : b.begin[k + 1]] for k in full.tolist()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(full, pa.int64()), pa.array(np.full(len(full), rows.column("batch")[i].as_py()), pa.int64()), pa.array([b.hash[x].tobytes() for x in out], pa.binary()), pa.array([_planes(b.least[x]) for x in out], pa.binary())],
+                    [pa.array(full, pa.int64()), pa.array(np.full(len(full), rows.column("batch")[i].as_py()), pa.int64()), pa.array([_steps(b.hash[x]) for x in out], pa.binary()), pa.array([_planes(b.least[x]) for x in out], pa.binary())],
                     names=["bucket", "batch", "hashes", "least"],
                 )
 
@@ -112,7 +127,7 @@ def _send(width: int, buckets: int):
 
 def _answer(got: pa.Table) -> pa.Table:
     """For each batch, places among the hashes it sent that another batch's smaller document has."""
-    hashes = [np.frombuffer(x, U) for x in got.column("hashes").to_pylist()]
+    hashes = [_unsteps(x) for x in got.column("hashes").to_pylist()]
     size = np.asarray([len(x) for x in hashes])
     every = np.concatenate(hashes)
     least = np.concatenate([_unplanes(x) for x in got.column("least").to_pylist()])
@@ -178,8 +193,8 @@ def remove_repeats(docs: DataFrame, width: int = 13, outputs: tuple[str, ...] =
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for i in range(rows.num_rows):
-                ids = rows.column("doc_ids")[i].values
-                b = _Batch(ids, rows.column("texts")[i].values, width, buckets)
+                ids, texts = _opened(rows.column("docs")[i].as_py())
+                b = _Batch(ids, texts, width, buckets)
                 elsewhere = np.zeros(len(b.hash), bool)
                 for answer in rows.column("known")[i].as_py() or ():
                     k = answer["bucket"]
@@ -200,7 +215,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, outputs: tuple[str, ...] =
                         made["kept_sha256"] = pa.array([sha256(t).hexdigest() for t in texts], pa.string())
                 yield pa.RecordBatch.from_arrays([ids, *(made[k] for k in outputs)], names=["doc_id", *outputs])
 
-    return met.select("doc_ids", "texts", "known").mapInArrow(finish, "doc_id bigint, " + ", ".join(f"{k} {_TYPES[k][1]}" for k in outputs))
+    return met.select("docs", "known").mapInArrow(finish, "doc_id bigint, " + ", ".join(f"{k} {_TYPES[k][1]}" for k in outputs))
 
 
 def _runs(gone: np.ndarray) -> list[dict]:
