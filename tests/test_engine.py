@@ -169,3 +169,32 @@ def test_no_hold_across_a_gap(spark):
     rows = [(1, f"2024-01-01 00:{m:02d}:00") for m in (0, 10, 50)]
     df = spark.createDataFrame(rows, "key int, t string").select("key", F.to_timestamp("t").alias("ts"))
     assert sorted(r.n for r in lifecycle.holds(df, 1800).collect()) == [1, 2]
+
+
+def test_lines_beside_and_around():
+    square = [(2, -1), (4, -1), (4, 1), (2, 1)]
+    assert geometry.outside([(0, 0), (10, 0)], [square]) == [[(0, 0), (2.0, 0.0)], [(4.0, 0.0), (10, 0)]]
+    assert geometry.outside([(0, 5), (10, 5)], [square]) == [[(0, 5), (10, 5)]] and geometry.outside([(2.5, 0), (3, 0)], [square]) == []
+    assert geometry.offset([(0, 0), (10, 0)], 2) == [(0.0, 2.0), (10.0, 2.0)] and geometry.offset([(0, 0), (0, 0)], 2) == []
+    corner = geometry.offset([(0, 0), (10, 0), (10, 10)], 1)
+    assert corner[0] == (0.0, 1.0) and abs(corner[1][0] - 9) < 0.5 and corner[2] == (9.0, 10.0)
+    assert geometry.inset([(0, 0), (10, 0)], 2, 3) == [(2.0, 0.0), (7.0, 0.0)] and geometry.inset([(0, 0), (4, 0)], 2, 3) is None
+    assert geometry.inset([(0, 0), (5, 0), (5, 5)], 1, 1) == [(1.0, 0.0), (5, 0), (5.0, 4.0)]
+    assert geometry.merged([[(0, 0), (1, 0)], [(5, 0), (1, 0)], [(9, 9), (8, 8)], [(-1, 0), (0, 0)]]) == [[(-1, 0), (0, 0), (1, 0), (5, 0)][::-1], [(9, 9), (8, 8)]]
+
+
+def test_shape_tables(spark):
+    from tilewright.operators import shapes
+
+    pts = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
+    line = "array<struct<x:double,y:double>>"
+    rows = spark.createDataFrame([(1, "a", 0, pts((0, 0), (1, 0))), (1, "a", 1, pts((1, 0), (2, 0))), (1, "b", 2, pts((1, 0), (1, 5))), (2, "a", 0, pts((0, 0), (300, 0)))], f"tile int, street string, seq int, pts {line}")
+    assert sorted((r.tile, r.street, len(r.pts)) for r in shapes.stitched(rows, "tile").collect()) == [(1, "a", 3), (1, "b", 2), (2, "a", 2)]
+    assert shapes.split_at_junctions(rows, "tile").count() == 4
+    assert sorted((r.tile, r.seq) for r in shapes.merged_labels(rows, "tile").collect()) == [(1, 0), (2, 0)] or shapes.merged_labels(rows, "tile").count() >= 2
+    rings = spark.createDataFrame([(1, 0, pts((0, 0), (9, 0), (9, 9), (0, 9))), (1, 1, pts((1, 1), (2, 1), (2, 2)))], f"building int, seq int, pts {line}")
+    assert [r.seq for r in shapes.outermost(rings, "building").collect()] == [0]
+    cut = shapes.long_enough(shapes.clipped_lines(rows, "pts", 0.0, 100.0), "pieces", 50.0)
+    assert sorted((r.tile, r.street) for r in cut.collect()) == [(1, "a"), (1, "a"), (1, "b"), (2, "a")]
+    assert [len(r.clipped) for r in shapes.clipped_rings(rings, "pts", -1.0, 5.0).orderBy("seq").collect()] == [4, 3]
+    assert [len(r.hull) for r in shapes.hulls(rings, "pts").orderBy("seq").collect()] == [4, 3]

@@ -269,3 +269,85 @@ def outermost(rings: list[Ring]) -> list[int]:
         if not any(b[0] <= a[0] and b[1] <= a[1] and b[2] >= a[2] and b[3] >= a[3] and all(inside(rings[k], p) for p in rings[i]) for k in kept for b in (box[k],)):
             kept.append(i)
     return sorted(kept)
+
+
+def outside(line: list[Point], areas: list[Ring]) -> list[list[Point]]:
+    """Pieces of a line that lie in none of the areas: segments are cut where they cross edges, and a part counts by its middle."""
+    out: list[list[Point]] = []
+    for p, q in zip(line, line[1:], strict=False):
+        cuts = {0.0, 1.0}
+        for ring in areas:
+            for a, b in zip(ring, [*ring[1:], *ring[:1]], strict=True):
+                ex, ey, fx, fy = q[0] - p[0], q[1] - p[1], b[0] - a[0], b[1] - a[1]
+                cross = ex * fy - ey * fx
+                if cross:
+                    t, u = ((a[0] - p[0]) * fy - (a[1] - p[1]) * fx) / cross, ((a[0] - p[0]) * ey - (a[1] - p[1]) * ex) / cross
+                    if 0 < t < 1 and 0 <= u <= 1:
+                        cuts.add(t)
+        at = lambda t, p=p, q=q: (p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1]))
+        steps = sorted(cuts)
+        for a, b in zip(steps, steps[1:], strict=False):
+            if not any(inside(r, at((a + b) / 2), None) for r in areas):
+                start, end = (p if a == 0 else at(a)), (q if b == 1 else at(b))
+                if out and out[-1][-1] == start:
+                    out[-1].append(end)
+                else:
+                    out.append([start, end])
+    return out
+
+
+def offset(line: list[Point], by: float, most: float = 2.0) -> list[Point]:
+    """A line moved to its left; at corners by the miter, ``most`` times the distance at most."""
+    normals = []
+    for (x0, y0), (x1, y1) in zip(line, line[1:], strict=False):
+        n = ((x1 - x0) ** 2 + (y1 - y0) ** 2) ** 0.5
+        if n:
+            normals.append(((y0 - y1) / n, (x1 - x0) / n))
+    if len(normals) != len(line) - 1 or not normals:
+        return []
+    out = []
+    for p, a, b in zip(line, [normals[0], *normals], [*normals, normals[-1]], strict=True):
+        mx, my = a[0] + b[0], a[1] + b[1]
+        n = (mx * mx + my * my) ** 0.5
+        scale = 1.0 if not n else min(most, 2 / n)
+        ux, uy = (a if not n else (mx / n, my / n))
+        out.append((p[0] + by * scale * ux, p[1] + by * scale * uy))
+    return out
+
+
+def inset(line: list[Point], start: float, end: float) -> list[Point] | None:
+    """A line without its first and last bit; None if that leaves nothing."""
+    total = line_length(line)
+    if total <= start + end:
+        return None
+    out, at = [], 0.0
+    for p, q in zip(line, line[1:], strict=False):
+        n = line_length([p, q])
+        for mark in (start, total - end):
+            if at <= mark <= at + n and n:
+                c = (p[0] + (q[0] - p[0]) * (mark - at) / n, p[1] + (q[1] - p[1]) * (mark - at) / n)
+                if not out or out[-1] != c:
+                    out.append(c)
+        at += n
+        if start < at < total - end and out and out[-1] != q:
+            out.append(q)
+    return out
+
+
+def merged(lines: list[list[Point]]) -> list[list[Point]]:
+    """Lines of one name joined into long ones: the longest first, grown at its tail, then at its head, by the longest that touches."""
+    left = sorted(range(len(lines)), key=lambda i: (-line_length(lines[i]), i))
+    out = []
+    while left:
+        run = list(lines[left.pop(0)])
+        for tail in (True, False):
+            while True:
+                end = run[-1] if tail else run[0]
+                i = next((i for i in left if end in (lines[i][0], lines[i][-1])), None)
+                if i is None:
+                    break
+                left.remove(i)
+                more = lines[i] if (lines[i][0] == end) == tail else lines[i][::-1]
+                run = run + more[1:] if tail else more[:-1] + run
+        out.append(run)
+    return out

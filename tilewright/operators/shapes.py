@@ -51,7 +51,8 @@ def clipped_lines(rows: DataFrame, line: str, low: float, high: float, name: str
 
 def long_enough(rows: DataFrame, pieces: str = "pieces", least: float = 256.0) -> DataFrame:
     """A row for each piece that carries a label: whole, or, if it was cut, ``least`` long at least."""
-    one = rows.withColumn("piece", F.explode(pieces)).select("*", "piece.*").drop("piece", pieces)
+    rest = [c for c in rows.columns if c not in (pieces, "pts", "cut_start", "cut_end")]
+    one = rows.select(*rest, F.explode(pieces).alias("piece")).select(*rest, "piece.*")
     return one.withColumn("length", g.length("pts")).where(~(F.col("cut_start") | F.col("cut_end")) | (F.col("length") >= least))
 
 
@@ -113,3 +114,23 @@ def outermost(rows: DataFrame, *building: str) -> DataFrame:
         return pdf.iloc[g.outermost([_in(p) for p in pdf.pts])]
 
     return rows.groupBy(*building).applyInPandas(run, rows.schema)
+
+
+def outside_areas(rows: DataFrame, line: str, areas: str, name: str = "outside") -> DataFrame:
+    """Pieces of each line that lie in none of its areas, as ``scene.on_surfaces`` pairs them."""
+    return _mapped(rows, [line, areas], name, f"array<{LINE}>", pa.list_(pa.list_(POINT)), lambda r, a: [_out(p) for p in g.outside(_in(r), [_in(x) for x in a or ()])])
+
+
+def offset_lines(rows: DataFrame, line: str, by: str, name: str = "moved") -> DataFrame:
+    return _mapped(rows, [line, by], name, LINE, pa.list_(POINT), lambda r, d: _out(g.offset(_in(r), d)))
+
+
+def merged_labels(rows: DataFrame, *group: str) -> DataFrame:
+    """Label paths (group, seq, pts) of one text and style in a tile joined into long ones."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        got = g.merged([_in(p) for p in pdf.sort_values("seq").pts])
+        return pd.DataFrame([(*key, i, _out(p)) for i, p in enumerate(got)], columns=[*group, "seq", "pts"])
+
+    return rows.groupBy(*group).applyInPandas(run, ", ".join(f"`{t}` {kinds[t]}" for t in group) + f", seq int, pts {LINE}")
