@@ -19,7 +19,7 @@ def tiled(df: DataFrame, z: int) -> DataFrame:
 
 @query(f"""WITH {WORLD}, t AS (SELECT *, {tile_sql(3)} FROM world),
 r AS (SELECT tx, ty, id, weight, count(*) OVER (PARTITION BY tx, ty) AS n, row_number() OVER (PARTITION BY tx, ty ORDER BY weight DESC, id) AS place FROM t)
-SELECT tx, ty, n, place, id, weight FROM r WHERE place <= 3""")
+SELECT tx, ty, n, CAST(place AS INTEGER) AS place, id, weight FROM r WHERE place <= 3""")
 def tile_top_customers(spark: SparkSession, sf: str) -> DataFrame:
     """Markers per tile and the three heaviest of each: counts are combined before the shuffle, and of a tile only its best are sorted."""
     t = tiled(points(spark, sf), 3)

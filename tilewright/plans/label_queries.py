@@ -88,7 +88,7 @@ def road_visibility(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""SELECT p_partkey AS id, CASE WHEN k % 4 = 0 THEN (z >= 10 AND NOT (k % 3 = 0 AND z >= 13)) WHEN k % 4 = 1 THEN z >= 6 ELSE true END AS land, (lv <= 4 AND (lv <= 2 OR z >= 4)) AS boundary, (k % 6 = 0 OR k % 6 = 3) AS park,
-  CASE WHEN k % 5 = 0 OR lay < 0 OR k % 11 = 0 THEN 'tunnel' WHEN k % 7 = 0 OR lay > 0 THEN 'bridge' ELSE 'ground' END AS structure, round(CASE WHEN k % 3 = 0 THEN (k % 4) * 3.2 ELSE 0 END, 6) AS base, round(greatest(CASE WHEN k % 2 = 0 THEN CAST(p_size AS DOUBLE) ELSE (p_size % 9) * 3.2 END, CASE WHEN k % 3 = 0 THEN (k % 4) * 3.2 ELSE 0 END), 6) AS top
+  CASE WHEN k % 5 = 0 OR lay < 0 OR k % 11 = 0 THEN 'tunnel' WHEN k % 7 = 0 OR lay > 0 THEN 'bridge' ELSE 'ground' END AS structure, round(CASE WHEN k % 3 = 0 THEN (k % 4) * 3.2 ELSE 0 END::DOUBLE, 6) AS base, round(greatest(CASE WHEN k % 2 = 0 THEN CAST(p_size AS DOUBLE) ELSE (p_size % 9) * 3.2 END, CASE WHEN k % 3 = 0 THEN (k % 4) * 3.2 ELSE 0 END), 6) AS top
 FROM (SELECT p_partkey, p_size, p_partkey AS k, p_size % 16 AS z, CASE WHEN p_partkey % 9 = 0 THEN 4 ELSE p_partkey % 9 END AS lv, p_partkey % 3 - 1 AS lay FROM part)""")
 def feature_gates(spark: SparkSession, sf: str) -> DataFrame:
     """Which features show, whether a road is a tunnel or a bridge, and how high a building stands."""
