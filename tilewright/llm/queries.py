@@ -75,9 +75,12 @@ def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
     from tilewright.llm.licenses import known_table, scan
 
-    return scan(table(spark, sf_dir, "documents"), known_table(spark)).select("doc_id", "digest", "license", "notices", "n_notice_lines")
+    found = scan(table(spark, sf_dir, "documents"), known_table(spark))
+    return found.select("doc_id", "digest", "license", F.array_join("notices", ",").alias("notices"), "n_notice_lines")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

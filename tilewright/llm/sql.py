@@ -33,7 +33,7 @@ WITH k AS (SELECT {digest.replace("TEXT", "t")} AS digest, min(license) AS licen
 d AS (SELECT row_number() OVER () AS r, doc_id, text, {digest.replace("TEXT", "text")} AS digest FROM documents),
 l AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
 h AS (SELECT r, list_sort(list(DISTINCT license)) AS notices, count(*) AS n FROM (SELECT r, {digest.replace("TEXT", "line")} AS digest FROM l) x JOIN k USING (digest) GROUP BY r)
-SELECT doc_id, d.digest, k.license, coalesce(notices, []) AS notices, coalesce(h.n, 0) AS n_notice_lines
+SELECT doc_id, d.digest, k.license, coalesce(array_to_string(notices, ','), '') AS notices, coalesce(h.n, 0) AS n_notice_lines
 FROM d LEFT JOIN k ON d.digest = k.digest LEFT JOIN h ON d.r = h.r
 """
 
