@@ -8,12 +8,15 @@ component of links.
    coordinates: a pair of similarity 0.8 shares a band but for a chance of 3e-5.
 2. Documents with the same words are one class from the start; the smallest id stands
    for them in what follows, so copies are never paired.
-3. In each band's bucket, the smallest id is compared with every other member: as many
-   pairs as members. Their texts are joined and the similarity is counted exactly.
-4. Where a bucket then holds members of several classes, each member outside the
-   smallest's class ("a stranger") is compared with all members of other classes. A
-   bucket with many strangers is first split by a second band: members that share two
-   bands meet, which pairs of that similarity do but for a chance of 5e-5.
+3. In a few rounds, each bucket names a head, another one each time, and members whose
+   class isn't the head's are compared with it: no more pairs than members, and fewer
+   with each round, as members of one class aren't compared any more.
+   Pairs whose sketches (a byte of each coordinate) agree in under 0.66, which at a
+   similarity of 0.8 has a chance of 3e-5, are dropped; the others are joined with their
+   texts, and their similarity is counted exactly.
+4. Buckets that still hold several classes are compared in blocks: members outside the
+   largest class with all members, by their whole shingle sets, so exactly and without a
+   row for each pair. Of links that connect the same two classes one is kept.
 
 Words are runs of letters and digits, lower case. A document of 1 to 4 words has one
 shingle. Cases: a null text, or one without words, is alone in its class; a null doc_id
@@ -37,8 +40,8 @@ from tilewright.llm.kernel import PLAIN, U, Words, counted, lowered, mix, pieces
 from tilewright.llm.store import bound_batches, written
 
 BANDS, ROWS, WIDTH, SIMILAR = 26, 5, 5, 0.8
-#: Strangers of a bucket that are compared at once; with more, the bucket is split first.
-FEW = 16
+#: Rounds of heads, shingles in a block, and how much less than needed sketches may agree.
+HEADS, SHINGLES, SLACK = 2, 1 << 16, 0.14
 
 
 def fingerprints(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -53,21 +56,24 @@ def fingerprints(w: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
-    """(doc_id, fp1, fp2, weight, keys): fingerprint, weight of all shingles and band keys of each document."""
+    """(doc_id, fp1, fp2, weight, keys, sketch): fingerprint, weight of all shingles, band keys and the
+    low byte of each coordinate of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 2 << 20):
             w = words(lowered(batch.column("text")), PLAIN)
             gram, doc, n = counted(*shingles(w, width))
             total = np.bincount(doc, n, batch.num_rows).astype(np.int64) if len(doc) else np.zeros(batch.num_rows, np.int64)
-            keys = band_keys(signatures(gram, doc, n.astype(np.float64), batch.num_rows, bands * rows), rows)
+            signature = signatures(gram, doc, n.astype(np.float64), batch.num_rows, bands * rows)
+            keys = band_keys(signature, rows)
+            low = (signature & U(255)).astype(np.uint8)
             one, two = fingerprints(w)
             has = total > 0
             flat = pa.array(keys[has].view(np.int64).reshape(-1), pa.int64())
             at = np.concatenate([[0], np.cumsum(has * bands)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(total), pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat)], names=["doc_id", "fp1", "fp2", "weight", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(total), pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat), pa.array([x.tobytes() for x in low], pa.binary())], names=["doc_id", "fp1", "fp2", "weight", "keys", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id bigint, fp1 bigint, fp2 bigint, weight bigint, keys array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, fp1 bigint, fp2 bigint, weight bigint, keys array<bigint>, sketch binary")
 
 
 def similarity(pairs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -101,10 +107,119 @@ def _sets(texts: pa.Array, width: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(gram[a:b], n[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, least: float, label: str) -> DataFrame:
+def _agree(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return (left == right).mean(-1)
+
+
+def _likely(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sketches agree enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in ("sketch_a", "sketch_b"))
+                yield batch.select(["a", "b"]).filter(pa.array(_agree(x, y) >= least - SLACK))
+
+    a, b = (sketches.select(F.col("id").alias(k), F.col("sketch").alias(f"sketch_{k}")) for k in ("a", "b"))
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a bigint, b bigint")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) that are similar. Weights already rule out pairs whose sizes differ too much, so a text is sent along with texts of its own size only."""
     a, b = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}")) for k in ("a", "b"))
-    return written(similarity(pairs.join(b, "b").join(a, "a")).where(F.col("similarity") >= least), label)
+    return written(similarity(pairs.join(b, "b").join(a, "a")).where(F.col("similarity") >= least).select("a", "b"), "links")
+
+
+def _labelled(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return shared.withColumn("label", F.col("id"))
+    return shared.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+
+def _round(shared: DataFrame, labels: DataFrame | None, number: int, least: float) -> DataFrame:
+    """Pairs (a, b) of a bucket's head and a member of another class: two for a member at most, whatever its buckets."""
+    named = _labelled(shared, labels)
+    order = F.col("id") if number == 0 else F.xxhash64("id", "key", F.lit(number))
+    heads = named.groupBy("key").agg(F.min_by(F.struct("id", "label", "weight"), order).alias("head"))
+    fits = F.least("weight", "head.weight") >= least * F.greatest("weight", "head.weight")
+    met = named.join(heads, "key").where((F.col("label") != F.col("head.label")) & fits)
+    ends = met.groupBy(F.col("id").alias("b")).agg(F.array_distinct(F.array(F.min("head.id"), F.max("head.id"))).alias("a"))
+    return ends.select(F.explode("a").alias("a"), "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _sets_of(texts: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(id, grams, counts): the shingles of each text in ascending order, 8 bytes each, and how often each occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(iter([batch]), 2 << 20):
+                made = _sets(part.column("text"), width)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([g.tobytes() for g, _ in made], pa.binary()), pa.array([n.astype("<u4").tobytes() for _, n in made], pa.binary())], names=["id", "grams", "counts"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "id bigint, grams binary, counts binary")
+
+
+def _rest(shared: DataFrame, labels: DataFrame | None, texts: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between classes of one bucket. Members outside its largest class, in blocks, are compared exactly with all its members, in blocks."""
+    named = _labelled(shared, labels)
+    sizes = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("key", "main")
+    mixed = written(named.join(main, "key").withColumn("stranger", F.col("label") != F.col("main")).select("key", "id", "label", "weight", "stranger"), "mixed")
+    ids = mixed.select(F.col("id").alias("doc_id")).distinct()
+    sets = written(_sets_of(texts.join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])), "sets")
+
+    def blocks(rows: DataFrame, number: str, held: str) -> DataFrame:
+        many = rows.groupBy("key").agg(F.ceil(F.sum("weight") / SHINGLES).alias("many"))
+        block = F.pmod(F.xxhash64("id"), F.col("many")).alias(number)
+        one = F.struct("id", "label", "weight", "grams", "counts")
+        return rows.join(many, "key").join(sets, "id").groupBy("key", block).agg(F.collect_list(one).alias(held))
+
+    met = blocks(mixed.where("stranger"), "x", "left").join(blocks(mixed, "y", "right"), "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                pairs = _linked(*(_members(batch.column(k)[i].values) for k in ("left", "right")), least)
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return met.select("left", "right").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _members(rows: pa.StructArray) -> list[tuple]:
+    ids, label, weight = (rows.field(k).to_pylist() for k in ("id", "label", "weight"))
+    grams = [np.frombuffer(x, U) for x in rows.field("grams").to_pylist()]
+    counts = [np.frombuffer(x, "<u4").astype(np.int64) for x in rows.field("counts").to_pylist()]
+    return list(zip(ids, label, weight, grams, counts, strict=True))
+
+
+def _linked(left: list[tuple], right: list[tuple], least: float) -> list[tuple[int, int]]:
+    """Similar pairs of different classes; of those that connect the same classes, one is enough."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in up:
+            x = up[x]
+        return x
+
+    grams = np.concatenate([m[3] for m in right])
+    owner = np.repeat(np.arange(len(right)), [len(m[3]) for m in right])
+    counts = np.concatenate([m[4] for m in right])
+    order = np.argsort(grams, kind="stable")
+    grams, owner, counts = grams[order], owner[order], counts[order]
+    weight = np.asarray([m[2] for m in right])
+    out = []
+    for one, label, size, own, often in left:
+        lo, hi = np.searchsorted(grams, own), np.searchsorted(grams, own, side="right")
+        n = hi - lo
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        both = np.bincount(owner[at], np.minimum(counts[at], np.repeat(often, n)), len(right))
+        for k in np.flatnonzero(both >= least * (weight + size - both) * (1 - 1e-12)).tolist():
+            other, theirs = right[k][0], right[k][1]
+            a, b = top(label), top(theirs)
+            if a != b and both[k] / (weight[k] + size - both[k]) >= least:
+                up[max(a, b)] = min(a, b)
+                out.append((min(one, other), max(one, other)))
+    return out
 
 
 def classes(docs: DataFrame, least: float = SIMILAR, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -115,56 +230,34 @@ def classes(docs: DataFrame, least: float = SIMILAR, key: str = "doc_id", text:
     marked = written(signed(body), "signatures")
     some = marked.where(F.col("doc_id").isNotNull() & (F.col("weight") > 0))
     # one for each sequence of words: counts are combined before the shuffle however large a group is
-    alike = written(some.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.first("weight").alias("weight"), F.first("keys").alias("keys")), "copies")
-    members = written(alike.select(F.col("rep").alias("id"), "weight", F.posexplode("keys").alias("band", "key")), "bands")
-    buckets = members.groupBy("key").agg(F.min("id").alias("a"), F.min_by("weight", "id").alias("weight_a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    fits = F.least("weight", "weight_a") >= least * F.greatest("weight", "weight_a")
-    stars = written(members.join(buckets, "key").where((F.col("id") != F.col("a")) & fits).select("a", F.col("id").alias("b")).distinct(), "stars")
-    ends = stars.select(F.col("a").alias("doc_id")).union(stars.select(F.col("b").alias("doc_id"))).distinct()
-    texts = written(body.join(ends, "doc_id", "left_semi"), "texts")
-    linked = _verified(stars, texts, least, "links")
-    labels = components(linked)
-    more = _strangers(members, buckets, labels, stars, least)
-    if not more.isEmpty():
-        ends = more.select(F.col("a").alias("doc_id")).union(more.select(F.col("b").alias("doc_id"))).distinct()
-        texts = written(body.join(ends, "doc_id", "left_semi"), "texts")
-        extra = _verified(more, texts, least, "links")
-        if not extra.isEmpty():
-            labels = components(linked.select("a", "b").unionByName(extra.select("a", "b")))
+    alike = written(some.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.first("weight").alias("weight"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "copies")
+    members = alike.select(F.col("rep").alias("id"), "weight", F.explode("keys").alias("key"))
+    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    shared = written(members.join(buckets, "key", "left_semi"), "shared-bands")
+    ends = shared.select(F.col("id").alias("rep")).distinct()
+    sketches = written(alike.join(ends, "rep", "left_semi").select(F.col("rep").alias("id"), "sketch").dropDuplicates(["id"]), "sketches")
+    # shuffled at every size, so that the ids of all candidates are never broadcast
+    texts = written(body.join(sketches.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi"), "texts")
+    labels, links, seen = None, None, None
+    for number in range(HEADS + 1):
+        if number < HEADS:
+            pairs = _round(shared, labels, number, least)
+            pairs = written(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
+            seen = pairs if seen is None else seen.unionByName(pairs)
+            found = _verified(_likely(pairs, sketches, least), texts, least)
+        else:
+            found = written(_rest(shared, labels, texts, least), "links")
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            labels = components(links)
+    if labels is None:
+        labels = spark.createDataFrame([], "id bigint, label bigint")
     grouped = alike.select("fp1", "fp2", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("fp1", "fp2", F.coalesce("label", "rep").alias("class_id"))
     # copies of one text may be very many: they meet one row
     out = marked.select("doc_id", "fp1", "fp2", "weight").join(grouped, ["fp1", "fp2"], "left")
     return out.select("doc_id", F.when(F.col("weight") > 0, F.when(F.col("doc_id").isNotNull(), F.col("class_id"))).otherwise(F.col("doc_id")).alias("class_id"))
 
 
-def _strangers(members: DataFrame, buckets: DataFrame, labels: DataFrame, done: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b), a < b, that share a bucket, are in different classes and haven't been compared."""
-    named = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-
-    def mixed(rows: DataFrame, by: str) -> DataFrame:
-        """Members of buckets of three or more with several classes, and whether they're strangers to the smallest's."""
-        heads = rows.groupBy(by).agg(F.min_by("label", "id").alias("head"), F.count(F.lit(1)).alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("n > 2 AND l0 != l1")
-        out = rows.join(heads.select(by, "head"), by).withColumn("stranger", F.col("label") != F.col("head"))
-        return out.drop("head")
-
-    def pairs(rows: DataFrame, by: str) -> DataFrame:
-        x = rows.where("stranger").select(by, F.col("id").alias("x"), F.col("label").alias("lx"), F.col("weight").alias("wx"))
-        y = rows.select(by, F.col("id").alias("y"), F.col("label").alias("ly"), F.col("weight").alias("wy"))
-        met = x.join(y, by).where((F.col("lx") != F.col("ly")) & (F.least("wx", "wy") >= least * F.greatest("wx", "wy")))
-        return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-
-    first = written(mixed(named, "key"), "mixed")
-    sizes = first.groupBy("key").agg(F.count(F.when(F.col("stranger"), 1)).alias("strangers"))
-    sized = first.join(sizes, "key")
-    few = pairs(sized.where(F.col("strangers") <= FEW), "key")
-    # a crowd meets again in what two bands have in common
-    crowd = sized.where(F.col("strangers") > FEW).select("id", "label", "weight", "key", "band")
-    second = crowd.join(members.select("id", F.col("band").alias("band2"), F.col("key").alias("key2")), "id").where("band2 != band")
-    two = second.select("id", "label", "weight", F.xxhash64(F.least("key", "key2"), F.greatest("key", "key2")).alias("both")).distinct()
-    found = few.union(pairs(mixed(two, "both"), "both")).distinct()
-    return written(found.join(done, ["a", "b"], "left_anti"), "more-pairs")
-
-
 def keep_one(docs: DataFrame, least: float = SIMILAR, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its class, once where a whole row is repeated; rows without an id stay."""
     found = classes(docs, least, key, text)
