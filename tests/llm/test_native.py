@@ -155,6 +155,42 @@ def test_what_is_not_valid_stays(spark):
     assert one(spark, same) == same
 
 
+def test_numbers_beside_others(spark):
+    card, iban, day, ssn, phone, ip = "4111 1111 1111 1111", "BE68 5390 0754 7034", "2024-02-29", "078-05-1120", "988-555-2485", "10.20.30.40"
+    new = dict(zip(("card", "iban", "day", "ssn", "phone", "ip"), one(spark, [card, iban, day, ssn, phone, ip]), strict=True))
+    plain = new["card"].replace(" ", "")
+    cases = {
+        f"card {card} 12/26": f"card {new['card']} 12/26",
+        "4111111111111111 123": f"{plain} 123",
+        "4111111111111111/123,4111111111111111": f"{plain}/123,{plain}",
+        f"no 12 {card}": f"no 12 {new['card']}",
+        f"1234 {card}": f"1234 {new['card']}",
+        f"{card} {card} {card}": " ".join([new["card"]] * 3),
+        f"{iban} EUR": f"{new['iban']} EUR",
+        f"AB13 {iban} and": f"AB13 {new['iban']} and",
+        f"{iban} {card} {ip}": f"{new['iban']} {new['card']} {new['ip']}",
+        f"{card} {day} {ssn} {phone}.": f"{new['card']} {new['day']} {new['ssn']} {new['phone']}.",
+        f"{card} 29.02.2024": f"{new['card']} {'.'.join(reversed(new['day'].split('-')))}",
+        f"{phone} {phone}": f"{new['phone']} {new['phone']}",
+        f"+1 {phone} {card}": f"+1 {new['phone']} {new['card']}",
+        f"1-{phone}": f"1-{new['phone']}",
+        f"{day}/{day}": f"{new['day']}/{new['day']}",
+        f"{day}-{day}": f"{new['day']}-{new['day']}",
+        f"{ip}-{ip}": f"{new['ip']}-{new['ip']}",
+        f"7,{day},{ssn}": f"7,{new['day']},{new['ssn']}",
+        "4111 1111 1111 1112 12/26": "4111 1111 1111 1112 12/26",
+        f"12 {card} 12-ab@x.org": None,
+    }
+    got = dict(zip(cases, one(spark, list(cases)), strict=True))
+    assert {k: v for k, v in got.items() if cases[k]} == {k: v for k, v in cases.items() if v}
+    assert re.fullmatch(f"12 {new['card']} [0-9]{{2}}-[a-z]{{2}}@[a-z].org", got[f"12 {card} 12-ab@x.org"])
+    abroad, both = one(spark, ["+49 151 23456789", f"+49 151 23456789 {card}"])
+    assert both == f"{abroad} {new['card']}" and abroad != "+49 151 23456789"
+    docs = spark.createDataFrame([(f"{card} {day} {ssn} 77",)], "text string")
+    assert pseudonym.pseudonymise(docs, KEY, count="n").first().n == 3
+
+
+
 def test_pseudonyms_awkward(awkward, nothing):
     out = pseudonym.pseudonymise(awkward, KEY, count="n_words")
     assert sorted(out.columns) == sorted(awkward.columns)

@@ -24,7 +24,8 @@ be powers. A string is a Feistel network whose halves are characters, each shift
 its own class (digit, capital, small letter); other characters stay.
 
 DataFrame operations only, row by row, without a shuffle. Cases: a null text stays null, an
-empty one empty; what looks like a number but isn't valid stays as it is; texts of any
+empty one empty; what looks like a number but isn't valid stays as it is; numbers beside
+others, joined by a space or hyphen, are told apart by their groups (``RUN``); texts of any
 length are cut at the finds and put together once; equal rows get equal results; an empty
 table gives an empty table; other columns stay as they are, but for one of the name given for the count.
 """
@@ -36,6 +37,8 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 
+_DAY = r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})"
+
 #: Kinds by precedence where two could begin at one place. Java's possessive quantifiers keep each linear.
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -43,20 +46,34 @@ PATTERNS = {
     "key": r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "ip": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
-    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "date": r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[-./][0-9])",
+    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?!-?[0-9])",
+    "date": rf"{_DAY}(?![0-9]|[-./](?!{_DAY}(?![0-9]))[0-9])",
     "card": r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
-    "phone": r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|\+[0-9]{1,3}(?:[ -]?[0-9]{2,4}){2,5}(?![0-9])",
+    "phone": r"(?:\+[0-9]{1,3}[ .-]?|1[ .-])?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|\+[0-9]{1,3}(?:[ -]?[0-9]{2,4}){2,5}(?![0-9])",
+}
+#: A find begins neither within a word nor within a number; a date may follow another one, as in an interval.
+BEFORE = r"(?<![A-Za-z0-9])(?<![0-9]\.)"
+_BEFORE = {"ssn": r"(?<![0-9]-)", "date": rf"(?:(?<![0-9][./-])|(?<=[0-9]/)(?=[0-9]{{4}}-|[0-9]{{2}}\.)|(?<=(?<![0-9]){_DAY}[./-]))", "phone": r"(?<![0-9]-)"}
+#: What may follow a run of groups and begin with digits, but holds other characters too.
+_NEXT = rf"{PATTERNS['email']}|{PATTERNS['secret']}|{PATTERNS['key']}|{PATTERNS['ip']}|(?=[0-9]{{2}}[./]){PATTERNS['date']}|[0-9]{{3}}(?:\.[0-9]{{3}}[ .-]|[ -][0-9]{{3}}\.)[0-9]{{4}}(?![0-9])"
+#: Cards, IBANs and international phones are found as whole runs of groups, however many: where the run isn't one number, its parts are tried.
+RUN = {
+    "iban": rf"(?=[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2}})[A-Z0-9]++(?![a-z])(?:[ -](?!{_NEXT})[A-Z0-9]++(?![a-z]))*+",
+    "card": rf"(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++(?:[ -](?!{_NEXT})[0-9]++)*+",
+    "phone": rf"(?=\+[0-9]{{1,3}}(?:[ -]?[0-9]{{2,4}}){{2}})\+[0-9]++(?:[ -](?!{_NEXT})[0-9]++)*+",
 }
-#: A find begins neither within a word nor within a number.
-BEFORE = r"(?<![A-Za-z0-9])(?<![0-9][.,/-])"
+#: Cards as they are customarily grouped, and IBANs, go before other kinds, and those before cards in other groups.
+LAYOUT = r"[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}(?:(?<=[ -][0-9]{4})\1[0-9]{1,3})?|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5}"
+#: The most groups that one number has.
+GROUPS = 19
 #: A quick look first: every find has one of these.
 HINT = r"[0-9@=]"
 
 
 def any_kind() -> str:
     # phones and brackets may follow anything that isn't a letter or digit
-    return BEFORE + "(?:" + "|".join(PATTERNS.values()) + ")"
+    ways = {**PATTERNS, "iban": RUN["iban"], "card": RUN["card"], "phone": f"(?:{PATTERNS['phone'].rsplit('|', 1)[0]}|{RUN['phone']})"}
+    return BEFORE + "(?:" + "|".join(_BEFORE.get(kind, "") + p for kind, p in ways.items()) + ")"
 
 
 def _int(x: Column) -> Column:
@@ -238,10 +255,52 @@ _MADE = {
 }
 
 
-def pseudonym(key: str, found: Column) -> Column:
-    """The pseudonym of what a pattern found: of the first kind that it is wholly and validly, else itself."""
-    out = [F.when(found.rlike(f"^(?:{PATTERNS[kind]})$"), make(key, found)) for kind, make in _MADE.items()]
-    return F.coalesce(*out, found)
+def pseudonym(key: str, found: Column, kinds: tuple[str, ...] = tuple(_MADE)) -> Column:
+    """The pseudonym of what a pattern found: of the first kind that it is wholly and validly, else null."""
+    return F.coalesce(*[F.when(found.rlike(f"^(?:{PATTERNS[kind]})$"), _MADE[kind](key, found)) for kind in kinds])
+
+
+def _replaced(key: str, found: Column) -> Column:
+    """A find with its pseudonym, or those of its parts, and how many places changed."""
+    out = lambda text, n: F.struct(text.alias("text"), n.cast("int").alias("n"))
+    whole = lambda new: F.when(new.isNotNull(), out(new, new != found)).when(found.rlike("[0-9A-Z][ -][0-9A-Z]"), _parts(key, found)).otherwise(out(found, F.lit(0)))
+    return _let(pseudonym(key, found), whole)
+
+
+def _parts(key: str, run: Column) -> Column:
+    """As _replaced(), for a run of groups that isn't one number: from the left, at each group the best and longest number that begins there, but for one that runs into a better one."""
+    kinds = ("iban", "ssn", "date", "card", "phone")
+
+    def over(groups: Column) -> Column:  # each group but the first with what joins it to the one before
+        last = F.size(groups) - 1
+        number = lambda i, j: F.regexp_replace(F.array_join(F.slice(groups, i + 1, j - i + 1), ""), "^[ -]", "")
+
+        def option(i: Column, j: Column) -> Column:
+            rank = lambda s: F.when(s.rlike(f"^(?:{LAYOUT}|{PATTERNS['iban']})$"), 1).when(s.rlike(f"^(?:{PATTERNS['card']})$"), 3).otherwise(2)
+            made = lambda s: F.struct(rank(s).alias("rank"), (-j).alias("j"), pseudonym(key, s, kinds).alias("new"), s.alias("old"))
+            return _let(number(i, j), made)
+
+        def best(_: Column, i: Column) -> Column:
+            options = F.transform(F.sequence(i, F.least(i + GROUPS - 1, last)), lambda j: option(i, j))
+            return F.array_min(F.filter(options, lambda x: x["new"].isNotNull()))
+
+        def walk(bests: Column) -> Column:
+            def step(a: Column, i: Column) -> Column:
+                def taken(b: Column) -> Column:
+                    better = F.exists(F.slice(bests, i + 2, F.coalesce(-b["j"], i) - i), lambda x: F.coalesce(x["rank"], F.lit(9)) < b["rank"])
+                    joint = F.regexp_extract(F.get(groups, i), "^[ -]?", 0)
+                    yes = F.struct((1 - b["j"]).alias("next"), F.concat(a["text"], joint, b["new"]).alias("text"), (a["n"] + (b["new"] != b["old"]).cast("int")).alias("n"))
+                    no = F.struct((i + 1).alias("next"), F.concat(a["text"], F.get(groups, i)).alias("text"), a["n"].alias("n"))
+                    return F.when(b.isNotNull() & ~better, yes).otherwise(no)
+
+                return F.when(i < a["next"], a).otherwise(_let(F.get(bests, i), taken))
+
+            start = F.struct(F.lit(0).alias("next"), F.lit("").alias("text"), F.lit(0).alias("n"))
+            return F.aggregate(F.sequence(F.lit(0), last), start, step, lambda a: F.struct(a["text"].alias("text"), a["n"].alias("n")))
+
+        return _let(F.transform(groups, best), walk)
+
+    return _let(F.split(run, "(?=[ -])"), over)
 
 
 def kind_of(found: Column) -> Column:
@@ -256,9 +315,9 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str | Non
     free = lambda n: n if n.lower() not in names else free("_" + n)
     finds, news = free("_finds"), free("_news")
     found = docs.withColumn(finds, F.when(t.rlike(HINT), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))))
-    made = found.withColumn(news, F.when(F.size(finds) > 0, F.transform(F.col(finds), lambda m: pseudonym(key, m))))
+    made = found.withColumn(news, F.when(F.size(finds) > 0, F.transform(F.col(finds), lambda m: _replaced(key, m))))
     parts = F.split(t, pattern, -1)
-    whole = F.array_join(F.flatten(F.zip_with(parts, F.col(news), lambda p, m: F.array(p, F.coalesce(m, F.lit(""))))), "")
-    changed = F.size(F.filter(F.arrays_zip(F.col(finds).alias("a"), F.col(news).alias("b")), lambda x: x["a"] != x["b"])).cast("bigint")
+    whole = F.array_join(F.flatten(F.zip_with(parts, F.col(news), lambda p, m: F.array(p, F.coalesce(m["text"], F.lit(""))))), "")
+    changed = F.aggregate(F.col(news), F.lit(0).cast("bigint"), lambda a, m: a + m["n"])
     columns = [F.when(F.size(news) > 0, whole).otherwise(t).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c != count]
     return made.select(*columns, *([F.when(F.size(news) > 0, changed).otherwise(0).alias(count)] if count else []))
