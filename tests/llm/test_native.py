@@ -191,6 +191,25 @@ def test_numbers_beside_others(spark):
 
 
 
+def test_secrets_as_they_are_written(spark):
+    value, card = "04dbebab91ab85687d33eeaaf9ac699e1188f962", "4111 1111 1111 1111"
+    new, capitals, letters_only = letters("secret", value), letters("secret", value.upper()), letters("secret", "hunter")
+    cases = {
+        f'a token = "{value}" b': f'a token = "{new}" b',
+        f'A!! TOKEN = "{value.upper()}"!! B': f'A!! TOKEN = "{capitals}"!! B',
+        f"{{'api_key': '{value}'}}": f"{{'api_key': '{new}'}}",
+        f"Secret:{value}, and": f"Secret:{new}, and",
+        f"token={value}&x": f"token={new}&x",
+        f'pwd="{value} cut': f'pwd="{new} cut',
+        "PASSWORD : hunter.": f"PASSWORD : {letters_only}.",
+        'password = "correct horse, 7!"': f'password = "{letters("secret", "correct horse, 7!")}"',
+        "passwd=p@ss!w0rd": f"passwd={letters('secret', 'p@ss!w0rd')}",
+        f"token: {card}": f"token: {one(spark, [card])[0]}",
+        "a token of thanks; secrets = 7": "a token of thanks; secrets = 7",
+    }
+    assert dict(zip(cases, one(spark, list(cases)), strict=True)) == cases
+
+
 def test_pseudonyms_awkward(awkward, nothing):
     out = pseudonym.pseudonymise(awkward, KEY, count="n_words")
     assert sorted(out.columns) == sorted(awkward.columns)

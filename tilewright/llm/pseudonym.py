@@ -15,7 +15,8 @@ phone      ten digits, or + and 8 to 15   800 x 8,000,000 numbers; others keep l
 date       a day of 1900 to 2099          17 x 4297 days
 email      name@host.domain               name, and host names, by character class
 key        AKIA and 16 characters         those 16, by character class
-secret     password=... and the like      the value, by character class
+secret     password=..., Token: "...",    the value, by character class
+           in any case, and the like
 ========== ============================== ==========================================
 
 A numeric permutation is an alternating Feistel network over a pair of residues (rounds
@@ -38,11 +39,15 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 
 _DAY = r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})"
+#: What goes before a secret's value: a name in any case, perhaps quoted, and = or :, perhaps with space and a quote.
+_NAMED = r"""(?i:password|passwd|pwd|secret|token|api[_-]?key)["']?[ \t]*+[=:][=>]?[ \t]*+"""
+#: Numbers of several groups are their own kind's even after such a name; what stands in quotes is a secret as a whole.
+_UNQUOTED = r"""["']?(?!\+?(?=(?:[ -]?[0-9]){10})[0-9-]++ [0-9]|[A-Z]{2}[0-9]{2} [A-Z0-9]{4} [A-Z0-9]{4})[A-Za-z0-9_/+.@!#$%^*~-]*[A-Za-z0-9]"""
 
 #: Kinds by precedence where two could begin at one place. Java's possessive quantifiers keep each linear.
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "secret": r"(?:[Pp]assword|[Pp]asswd|[Pp]wd|[Ss]ecret|[Tt]oken|[Aa]pi_?[Kk]ey)=[A-Za-z0-9_/+.-]*[A-Za-z0-9]",
+    "secret": rf"""{_NAMED}(?:"[^"\r\n]*[A-Za-z0-9][^"\r\n]*"|'[^'\r\n]*[A-Za-z0-9][^'\r\n]*'|{_UNQUOTED})""",
     "key": r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "ip": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
@@ -67,7 +72,7 @@ LAYOUT = r"[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}(?:(?<=[ -][
 #: The most groups that one number has.
 GROUPS = 19
 #: A quick look first: every find has one of these.
-HINT = r"[0-9@=]"
+HINT = r"[0-9@=:]"
 
 
 def any_kind() -> str:
@@ -239,7 +244,12 @@ def _email(key: str, m: Column) -> Column:
 
 
 def _secret(key: str, m: Column) -> Column:
-    return F.concat(F.split_part(m, F.lit("="), F.lit(1)), F.lit("="), characters(key, "secret", F.substr(m, F.instr(m, "=") + 1)))
+    def made(head: Column) -> Column:
+        rest, quote = F.substr(m, F.char_length(head) + 1), F.regexp_extract(head, "[\"']$", 0)
+        tail = F.when((quote != "") & F.endswith(rest, quote), quote).otherwise(F.lit(""))
+        return F.concat(head, characters(key, "secret", F.substr(rest, F.lit(1), F.char_length(rest) - F.char_length(tail))), tail)
+
+    return _let(F.regexp_extract(m, f"^{_NAMED}[\"']?", 0), made)
 
 
 _MADE = {
