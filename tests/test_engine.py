@@ -198,3 +198,10 @@ def test_shape_tables(spark):
     assert sorted((r.tile, r.street) for r in cut.collect()) == [(1, "a"), (1, "a"), (1, "b"), (2, "a")]
     assert [len(r.clipped) for r in shapes.clipped_rings(rings, "pts", -1.0, 5.0).orderBy("seq").collect()] == [4, 3]
     assert [len(r.hull) for r in shapes.hulls(rings, "pts").orderBy("seq").collect()] == [4, 3]
+
+
+def test_labels_without_alias_judge_every_row(spark):
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_suppkey", "l_linenumber").collect()
+    shipped = {f"n{r.s_suppkey % 7}" for r in spark.read.parquet(f"{SF}/supplier.parquet").collect()}
+    want = sum(not {f"n{r.l_suppkey % 50}", f"m{r.l_linenumber}"} & shipped for r in rows)
+    assert sum(r.n for r in catalog.QUERIES["every_label_without_alias"](spark, SF).collect()) == want

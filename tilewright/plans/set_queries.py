@@ -97,13 +97,14 @@ def structure_roles(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("WITH e AS (SELECT l_orderkey AS f, unnest([l_partkey % 500, l_suppkey % 500]) AS endpoint FROM lineitem WHERE l_quantity >= 45) SELECT endpoint, count(DISTINCT f) AS n FROM e GROUP BY endpoint")
 def endpoint_degrees(spark: SparkSession, sf: str) -> DataFrame:
-    """Different streets that end at a point."""
+    """Different streets that end at a point; only drive-tier ones count."""
     e = table(spark, sf, "lineitem").where("l_quantity >= 45").selectExpr("l_orderkey AS f", "explode(array(l_partkey % 500, l_suppkey % 500)) AS endpoint")
     return e.groupBy("endpoint").agg(F.countDistinct("f").alias("n"))
 
 
 @query("SELECT CAST(floor(l_extendedprice / 5000 + 0.5) AS BIGINT) AS vx, CAST(floor(l_quantity / 10 + 0.5) AS BIGINT) AS vy, count(*) AS n, count(DISTINCT l_orderkey) AS streets, round(max(l_tax), 4) AS half_width FROM lineitem WHERE l_linenumber < 6 GROUP BY ALL")
 def vertex_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Points, streets and the widest half at each vertex; l_linenumber < 6 stands for A4's condition on priority and painted lines."""
     return table(spark, sf, "lineitem").where("l_linenumber < 6").groupBy(F.floor(F.col("l_extendedprice") / 5000 + 0.5).alias("vx"), F.floor(F.col("l_quantity") / 10 + 0.5).alias("vy")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("l_orderkey").alias("streets"), F.round(F.max("l_tax"), 4).alias("half_width"))
 
 
@@ -126,8 +127,19 @@ def load_status(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("WITH a AS (SELECT l_partkey % 700 AS id, ['n' || l_suppkey % 50, 'm' || l_linenumber] AS alias FROM lineitem WHERE l_orderkey % 9 = 0), b AS (SELECT DISTINCT 'n' || s_suppkey % 7 AS name FROM supplier) SELECT id, alias[1] AS first_alias, count(*) AS n FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE list_contains(alias, name)) GROUP BY ALL")
 def labels_without_alias(spark: SparkSession, sf: str) -> DataFrame:
-    """Labels of which no name is among the shipped ones: an anti-join on exploded names."""
-    a = table(spark, sf, "lineitem").where("l_orderkey % 9 = 0").selectExpr("l_partkey % 700 AS id", "array(concat('n', l_suppkey % 50), concat('m', l_linenumber)) AS alias")
+    """Labels of which no name is among the shipped ones, over every ninth order as its SQL has it; every_label_without_alias has all."""
+    return _without_alias(spark, sf, table(spark, sf, "lineitem").where("l_orderkey % 9 = 0"))
+
+
+@query("WITH a AS (SELECT l_partkey % 700 AS id, 'n' || l_suppkey % 50 AS first_alias, 'm' || l_linenumber AS second_alias FROM lineitem), b AS (SELECT DISTINCT 'n' || s_suppkey % 7 AS name FROM supplier) SELECT id, first_alias, count(*) AS n FROM a WHERE first_alias NOT IN (SELECT name FROM b) AND second_alias NOT IN (SELECT name FROM b) GROUP BY ALL")
+def every_label_without_alias(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels of which no name is among the shipped ones, over all rows."""
+    return _without_alias(spark, sf, table(spark, sf, "lineitem"))
+
+
+def _without_alias(spark: SparkSession, sf: str, labels: DataFrame) -> DataFrame:
+    """An anti-join on exploded names."""
+    a = labels.selectExpr("l_partkey % 700 AS id", "array(concat('n', l_suppkey % 50), concat('m', l_linenumber)) AS alias")
     shipped = table(spark, sf, "supplier").selectExpr("concat('n', s_suppkey % 7) AS name").distinct()
     taken = a.select("alias").distinct().select("alias", F.explode("alias").alias("name")).join(shipped, "name", "left_semi").select("alias").distinct()
     return a.join(taken, "alias", "left_anti").groupBy("id", F.get("alias", F.lit(0)).alias("first_alias")).agg(F.count(F.lit(1)).alias("n"))
