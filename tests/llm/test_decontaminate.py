@@ -76,3 +76,24 @@ def test_blocks_miss_nothing_within_the_radius():
     full = np.asarray([[bin(int.from_bytes((p ^ k).tobytes(), "little")).count("1") for k in known] for p in probes])
     assert set(zip(window.tolist(), item.tolist(), strict=True)) == set(zip(*np.nonzero(full <= decontaminate.RADIUS), strict=True))
     assert (full[window, item] == distance).all()
+
+
+def test_repeated_shingles_are_judged_by_their_count(spark):
+    rng = random.Random(5)
+    masked = " ".join(["mask"] * 15)
+    items, docs = [], []
+    for i in range(12):
+        words = prose(rng, 104).split()
+        items.append((i, " ".join(words)))
+        at = rng.randint(10, 80)
+        docs.append((i, prose(rng, 20) + " " + " ".join(words[:at] + masked.split()[:9] + words[at + 9 :]) + " tail"))
+        # the other way round: the item holds the run
+        items.append((100 + i, " ".join(words[::-1][:50] + masked.split() + words[:39])))
+        docs.append((100 + i, " ".join(words[::-1][:50] + prose(rng, 3).split() + masked.split()[3:] + words[:39])))
+        # a run at an end costs fewer shingles
+        items.append((200 + i, " ".join(rng.choice("abcdefgh") * 3 + str(k) for k in range(104))))
+        docs.append((200 + i, " ".join(items[-1][1].split()[:93] + ["mask"] * 11)))
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    want = brute(docs, items)
+    assert Counter((r.doc_id, r.item_id, r.first_word, r.n_words, round(r.similarity, 9)) for r in got) == want
+    assert sum(d >= 200 for d, *_ in want) == 12
