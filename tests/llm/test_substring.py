@@ -52,3 +52,21 @@ def test_hash_blocks_agree(monkeypatch):
         by_text.setdefault(whole.text(i), set()).add(int(whole.hash[i]))
     assert all(len(x) == 1 for x in by_text.values()) and len(by_text) == len(np.unique(whole.hash))
     assert [whole.text(i).decode() for i in range(len(whole.start))] == [x for r in awkward_rows() for x in WORD.findall(r[1] or "")]
+
+
+def test_one_hash_of_different_windows(monkeypatch):
+    import pyarrow as pa
+
+    plain, calls = kernel.windows, []
+
+    def clash(hashes, width):
+        calls.append(1)
+        out = plain(hashes, width)
+        return out & kernel.U(7) if len(calls) % 2 else out  # the first hash of a batch agrees all the time
+
+    monkeypatch.setattr(substring, "windows", clash)
+    texts = [" ".join(f"w{k}x{i}" for k in range(40)) for i in range(30)]
+    b = substring._Batch(pa.array([*range(30), 99]), pa.array([*texts, texts[3]]), 3, 1000)
+    assert len(b.hash) == 30 * 38 and (b.least[b.kind] < b.doc).sum() == 38
+    bucket = np.repeat(np.arange(1000), np.diff(b.begin))
+    assert max(Counter(zip(b.hash[b.by_bucket].tolist(), bucket.tolist(), strict=True)).values()) < 8

@@ -3,16 +3,18 @@
 1. Documents are written once as batches: a row holds some MB of whole texts.
 2. Each batch hashes every window of ``width`` words (``kernel.windows``) and keeps, for
    each different hash, the smallest document that has it: however often a passage
-   occurs, a batch sends its windows once. Hashes are dealt to buckets by other bits of
-   the hash, sized by the corpus, and sent in ascending order as differences, in bytes.
+   occurs, a batch sends its windows once. Hashes are dealt to buckets by a second hash of
+   the window, sized by the corpus, and sent in ascending order as differences, in bytes.
 3. A bucket sorts what it got, and tells each batch which of its hashes also start in
    another batch's smaller document.
 4. Batches meet their answers, hash again, mark the windows whose smallest document is
    smaller than their own, merge marked windows into maximal intervals, and cut these.
 
-A hash that meets in a bucket agrees in 64 bits and in the bucket number, of which there
-are as many as the corpus needs; two different windows in 2e13 are then taken for equal
-about once, and none in a corpus of the size of the tests.
+Windows are taken for equal if they agree in a 64-bit hash and in the bucket, which comes
+from a second hash, of 32 bits, that is made from the words anew; in a batch, if they agree
+in both. n windows in k buckets then hold about n * n / (2**65 * k) false pairs: about one in
+2e13 windows with 1e7 buckets, 2e-4 in 5e9 windows (30 GB) with 3600. Words that agree in
+their own 64-bit hash are taken for equal: m different ones hold m * m / 2**65 such pairs.
 
 Cases: a null or empty text has no words; a text shorter than the window loses none; a
 null doc_id comes after all others, so such rows lose what any numbered document has and
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.kernel import U, Words, pieces, windows, within, words
+from tilewright.llm.kernel import U, Words, mix, pieces, windows, within, words
 from tilewright.llm.store import bound_batches, deal, text_bytes, written
 
 #: Bytes of text in a batch at least and at most, and of hashes in a bucket.
@@ -38,6 +40,8 @@ LEAST, MOST, BUCKET = 4 << 20, 32 << 20, 16 << 20
 #: Bytes of text for which a batch sends each bucket a run of some hundred hashes.
 RUN = 1536
 _LAST = np.int64(2**63 - 1)
+#: What makes the words' second hash another one.
+_SECOND = U(0x9FB21C651E98DF25)
 
 
 def batched(docs: DataFrame, size: int) -> DataFrame:
@@ -78,16 +82,21 @@ class _Batch:
         self.words: Words = words(texts)
         ids = doc_ids.fill_null(int(_LAST)).to_numpy(zero_copy_only=False).astype(np.int64)
         self.at, doc = within(self.words.first, width)
-        hashes = windows(self.words.hash, width)[self.at] if len(self.at) else np.zeros(0, U)
         self.doc = ids[doc]
-        order = np.argsort(hashes)
-        run = hashes[order]
-        new = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if len(run) else np.zeros(0, np.int64)
+        del doc
+        other = (windows(mix(self.words.hash ^ _SECOND), width) >> U(32)).astype(np.uint32)[self.at] if len(self.at) else np.zeros(0, np.uint32)
+        run = windows(self.words.hash, width)[self.at] if len(self.at) else np.zeros(0, U)
+        order = np.argsort(run)
+        run, other = run[order], other[order]
+        if ((run[1:] == run[:-1]) & (other[1:] != other[:-1])).any():  # one hash, different windows
+            again = np.lexsort((other, run))
+            order, run, other = order[again], run[again], other[again]
+        new = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (other[1:] != other[:-1])])) if len(run) else np.zeros(0, np.int64)
         self.hash = run[new]
         self.least = np.minimum.reduceat(self.doc[order], new) if len(new) else np.zeros(0, np.int64)
         self.kind = np.empty(len(run), np.int64)  # of each window, its place among the different ones
         self.kind[order] = np.repeat(np.arange(len(new)), np.diff(np.concatenate([new, [len(run)]])))
-        bucket = ((self.hash * U(0x9FB21C651E98DF25)) >> U(40)) % U(buckets)
+        bucket = other[new].astype(U) % U(buckets)
         self.by_bucket = np.argsort(bucket, kind="stable")
         self.begin = np.searchsorted(bucket[self.by_bucket], np.arange(buckets + 1, dtype=U))
 
