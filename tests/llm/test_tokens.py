@@ -95,6 +95,22 @@ def test_token_counts(awkward, nothing, library, chunk, overlap):
     assert token_count.count_tokens(nothing, WORD, chunk=chunk, overlap=overlap).collect() == []
 
 
+def test_places_inside_a_token_are_no_splices():
+    class Across:  # takes "c d" for one token
+        by_chunk = True
+
+        def encode(self, texts=None, add_special_tokens=True):
+            if isinstance(texts, list):
+                return [b"    " * len(t.split()) for t in texts]
+            self.offsets = [(0, 1), (2, 3), (4, 7), (8, 9)]
+            return self
+
+    e = Across()
+    e.tokenizer = e
+    got = token_count._one(e, "a b c d e", 100, 9, False, False)
+    assert got == {"total": 4, "left": [(101, 1), (103, 2), (107, 3)], "right": [(101, 1), (103, 2), (107, 3)]}
+
+
 def test_spans_overlap_and_cover():
     for n in (0, 1, 99, 100, 101, 190, 191, 1000):
         parts = token_count.spans(n, 100, 10)

@@ -61,27 +61,28 @@ def stable(text: str, a: int, b: int) -> list[int]:
     return [p for p in range(max(a, 1), b) if text[p] == " " and not text[p - 1].isspace() and p + 1 < len(text) and not text[p + 1].isspace()]
 
 
-def boundaries(e: Encoder, text: str, places: list[int]) -> list[tuple[int, int]]:
-    """(place, tokens before it) for each place that is a token boundary of ``text``, by the offsets of its chunks' tokens."""
-    out, before, a = [], 0, 0
-    for p in places:
-        before += len(e.encode([text[a:p]])[0]) // 4
-        out.append((p, before))
-        a = p
-    return out
+def boundaries(offsets: list[tuple[int, int]], places: list[int]) -> dict[int, int]:
+    """Tokens before each place that is a token boundary, by the offsets of a text's tokens; a place inside a token is left out."""
+    if not offsets:
+        return dict.fromkeys(places, 0)
+    begin, end = np.asarray(offsets, np.int64).T
+    begin, reach = np.minimum.accumulate(begin[::-1])[::-1], np.concatenate([[0], np.maximum.accumulate(end)])
+    at = np.asarray(places, np.int64)
+    before = np.searchsorted(begin, at)
+    return {p: n for p, n, r in zip(places, before.tolist(), reach[before].tolist(), strict=True) if r <= p}
 
 
 def _one(e: Encoder, text: str, begin: int, overlap: int, first: bool, last: bool) -> dict:
-    """Tokens of a chunk, and the stable boundaries in its overlap with each neighbour, by place in the document."""
+    """Tokens of a chunk, and the stable places in its overlap with each neighbour that are token boundaries, by place in the document."""
     n = len(text)
     if not e.by_chunk:  # nothing is proven for such a file: no place to splice at
         left, right = [], []
     else:
         left = [] if first else stable(text, 0, min(overlap, n))
         right = [] if last else stable(text, max(0, n - overlap), n)
-    marks = dict(boundaries(e, text, sorted({*left, *right})))
-    total = len(e.encode([text])[0]) // 4
-    return {"total": total, "left": [(begin + p, marks[p]) for p in left], "right": [(begin + p, marks[p]) for p in right]}
+    offsets = e.tokenizer.encode(text, add_special_tokens=False).offsets
+    marks = boundaries(offsets, sorted({*left, *right}))
+    return {"total": len(offsets), "left": [(begin + p, marks[p]) for p in left if p in marks], "right": [(begin + p, marks[p]) for p in right if p in marks]}
 
 
 _MARK = pa.list_(pa.struct([("p", pa.int64()), ("n", pa.int64())]))
