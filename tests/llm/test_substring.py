@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -32,7 +33,7 @@ def brute(rows, width):
 
 @pytest.mark.parametrize("width", [13, 3, 1])
 def test_repeats(awkward, nothing, monkeypatch, width):
-    monkeypatch.setattr(substring, "LEAST", 2000)  # many batches
+    monkeypatch.setattr(substring, "SIZE", 2000)  # many batches
     got = substring.remove_repeats(awkward, width).collect()
     assert Counter((r.doc_id, r.n_words, r.n_removed, tuple((x.first, x.last) for x in r.removed), r.kept, r.kept_sha256) for r in got) == brute(awkward_rows(), width)
     assert substring.remove_repeats(nothing, width).collect() == []
@@ -67,6 +68,27 @@ def test_one_hash_of_different_windows(monkeypatch):
     monkeypatch.setattr(substring, "windows", clash)
     texts = [" ".join(f"w{k}x{i}" for k in range(40)) for i in range(30)]
     b = substring._Batch(pa.array([*range(30), 99]), pa.array([*texts, texts[3]]), 3, 1000)
-    assert len(b.hash) == 30 * 38 and (b.least[b.kind] < b.doc).sum() == 38
-    bucket = np.repeat(np.arange(1000), np.diff(b.begin))
+    assert len(b.hash) == 30 * 38 and (b.least[b.kind] < b.ids[b.of]).sum() == 38
+    bucket = np.repeat(b.full, np.diff(b.begin))
     assert max(Counter(zip(b.hash[b.by_bucket].tolist(), bucket.tolist(), strict=True)).values()) < 8
+
+
+def test_words_that_agree_under_any_polynomial(spark):
+    """A Thue-Morse word and its complement have the same polynomial modulo 2**64 for every base."""
+    one = "".join("ab"[i.bit_count() & 1] for i in range(2048))
+    other = one.translate(str.maketrans("ab", "ba"))
+    tail = [f"w{i}" for i in range(12)]
+    docs = spark.createDataFrame([(1, " ".join([one, *tail])), (2, " ".join([other, *tail])), (3, " ".join([one, *tail]))], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring.remove_repeats(docs).collect()} == {1: 0, 2: 0, 3: 13}
+
+
+def test_batches_and_buckets_of_any_size(spark, monkeypatch):
+    """Many batches, many buckets, and rows that send a few hashes at once give the same rows."""
+    rng = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, " ".join([*(f"w{rng.randrange(50)}" for _ in range(rng.randrange(60))), *([passage] if i % 3 == 0 else [])])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = sorted(substring.remove_repeats(docs).collect())
+    for name, value in (("SIZE", 1024), ("BUCKET", 256), ("SENT", 64)):
+        monkeypatch.setattr(substring, name, value)
+    assert sorted(substring.remove_repeats(docs).collect()) == want

@@ -1,8 +1,10 @@
 """Words and rolling hashes of many texts at once, in numpy over the UTF-8 bytes.
 
-All arithmetic is modulo 2**64. A word's hash is a polynomial over a table of random
-64-bit values, taken from prefix sums, then mixed; a window's hash is a Rabin-Karp
-polynomial over word hashes, taken from prefix sums in the same way.
+All arithmetic is modulo 2**64. A word's hash is the sum of a random value for each pair of
+place and byte, then mixed: two different words differ in one such value at least, so that they
+agree with a chance of 2**-64, whatever they are. (A polynomial modulo 2**64 would not do: words
+made of a Thue-Morse sequence agree for every base.) A window's hash is a Rabin-Karp polynomial
+over word hashes, taken from prefix sums.
 """
 
 from __future__ import annotations
@@ -17,9 +19,10 @@ import pyarrow.compute as pc
 U = np.uint64
 #: Bytes of text whose prefix sums are held at once.
 BLOCK = 1 << 20
-_RANDOM = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-_BASE = U(0x9E3779B97F4A7C15)
+#: Places of a word whose values are drawn at random, for either of two independent hashes; values of later places are mixed from place and byte.
+PLACES = 48
+_DRAWN = np.random.Generator(np.random.PCG64(20240607)).integers(0, 2**64 - 1, (2, PLACES * 256), dtype=np.uint64, endpoint=True)
+_LATE = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F))
 _STEP = U(0xD1342543DE82EF95)
 
 
@@ -41,7 +44,7 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_BYTE_POWERS, _WORD_POWERS = _Powers(int(_BASE)), _Powers(int(_STEP))
+_WORD_POWERS = _Powers(int(_STEP))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -80,6 +83,8 @@ class Words:
     end: np.ndarray
     first: np.ndarray
     hash: np.ndarray
+    #: A second hash, independent of the first, where it was asked for.
+    other: np.ndarray | None = None
 
     def text(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
@@ -107,28 +112,32 @@ def _cut(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np.ndarra
     return np.flatnonzero(opens), np.flatnonzero(closes) + 1
 
 
-def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lanes: int) -> list[np.ndarray]:
     """Hashes of words, a block of bytes at a time; a block ends with a word."""
-    out = np.empty(len(start), U)
+    out = [np.empty(len(start), U) for _ in range(lanes)]
     i = 0
     while i < len(start):
-        base = int(start[i])
-        j = max(i + 1, int(np.searchsorted(end, base + BLOCK, side="right")))
-        top = int(end[j - 1])
-        up, down = _BYTE_POWERS.get(top - base + 1)
-        sums = np.zeros(top - base + 1, U)
-        np.cumsum(_BYTE[data[base:top]] * up[:-1], out=sums[1:])
-        s, e = start[i:j] - base, end[i:j] - base
-        out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(U) * _BASE)
+        j = max(i + 1, int(np.searchsorted(end, start[i] + BLOCK, side="right")))
+        size = (end[i:j] - start[i:j]).astype(np.int32)
+        first = np.cumsum(size) - size
+        place = np.arange(size.sum(dtype=np.int64), dtype=np.int32) - np.repeat(first.astype(np.int32), size)
+        byte = data[place + np.repeat(start[i:j], size)]
+        at = (np.minimum(place, PLACES - 1) << 8) | byte
+        late = np.flatnonzero(place >= PLACES) if size.max() > PLACES else place[:0]
+        for k in range(lanes):
+            value = _DRAWN[k][at]
+            if len(late):
+                value[late] = mix((place[late].astype(U) * U(256) + byte[late]) * _LATE[k] + _LATE[1 - k])
+            out[k][i:j] = mix(np.add.reduceat(value, first))
         i = j
     return out
 
 
-def words(texts: pa.Array, table: np.ndarray = SPACED) -> Words:
-    """Words of all texts of an array; a null text has none."""
+def words(texts: pa.Array, table: np.ndarray = SPACED, lanes: int = 1) -> Words:
+    """Words of all texts of an array, with one hash or two; a null text has none."""
     data, at = _bytes_of(texts)
     start, end = _cut(data, at, table) if len(data) else (np.zeros(0, np.int64),) * 2
-    return Words(data, start, end, np.searchsorted(start, at).astype(np.int64), _hashes(data, start, end))
+    return Words(data, start, end, np.searchsorted(start, at).astype(np.int64), *_hashes(data, start, end, lanes))
 
 
 def lowered(texts: pa.Array) -> pa.Array:

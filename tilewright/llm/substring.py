@@ -11,10 +11,13 @@
    smaller than their own, merge marked windows into maximal intervals, and cut these.
 
 Windows are taken for equal if they agree in a 64-bit hash and in the bucket, which comes
-from a second hash, of 32 bits, that is made from the words anew; in a batch, if they agree
-in both. n windows in k buckets then hold about n * n / (2**65 * k) false pairs: about one in
-2e13 windows with 1e7 buckets, 2e-4 in 5e9 windows (30 GB) with 3600. Words that agree in
-their own 64-bit hash are taken for equal: m different ones hold m * m / 2**65 such pairs.
+from a second hash, of 32 bits; in a batch, if they agree in both. The two are made from two
+independent hashes of the words (``kernel``). n windows in k buckets then hold about
+n * n / (2**65 * k) false pairs: about one in 2e13 windows with 1e7 buckets, 2e-4 in 5e9 windows
+(30 GB) with 3600. Words that agree in one hash don't agree in the other.
+
+Batches, buckets and what is sent at once have fixed sizes, whatever the size of the corpus:
+a worker holds one batch of ``SIZE`` bytes of text, or one document where that is larger.
 
 Cases: a null or empty text has no words; a text shorter than the window loses none; a
 null doc_id comes after all others, so such rows lose what any numbered document has and
@@ -32,16 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.kernel import U, Words, mix, pieces, windows, within, words
+from tilewright.llm.kernel import U, Words, pieces, windows, within, words
 from tilewright.llm.store import bound_batches, deal, text_bytes, written
 
-#: Bytes of text in a batch at least and at most, and of hashes in a bucket.
-LEAST, MOST, BUCKET = 4 << 20, 32 << 20, 16 << 20
-#: Bytes of text for which a batch sends each bucket a run of some hundred hashes.
-RUN = 1536
+#: Bytes of text in a batch, of hashes in a bucket, and of hashes that are sent at once.
+SIZE, BUCKET, SENT = 4 << 20, 16 << 20, 1 << 20
 _LAST = np.int64(2**63 - 1)
-#: What makes the words' second hash another one.
-_SECOND = U(0x9FB21C651E98DF25)
 
 
 def batched(docs: DataFrame, size: int) -> DataFrame:
@@ -58,12 +57,13 @@ def batched(docs: DataFrame, size: int) -> DataFrame:
                 out.write_table(pa.Table.from_batches(held).combine_chunks())
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch", "docs"])
 
-        for batch in pieces(batches, size):
-            held.append(batch)
-            n += batch.column("text").nbytes
-            if n >= size:
+        for batch in pieces(batches, size // 8):
+            more = batch.column("text").nbytes
+            if held and n + more > size:
                 yield row()
                 held, n, number = [], 0, number + 1
+            held.append(batch)
+            n += more
         if held:
             yield row()
 
@@ -79,26 +79,35 @@ class _Batch:
     """Windows of a batch: the different hashes by bucket, and their smallest document."""
 
     def __init__(self, doc_ids: pa.Array, texts: pa.Array, width: int, buckets: int) -> None:
-        self.words: Words = words(texts)
-        ids = doc_ids.fill_null(int(_LAST)).to_numpy(zero_copy_only=False).astype(np.int64)
-        self.at, doc = within(self.words.first, width)
-        self.doc = ids[doc]
-        del doc
-        other = (windows(mix(self.words.hash ^ _SECOND), width) >> U(32)).astype(np.uint32)[self.at] if len(self.at) else np.zeros(0, np.uint32)
-        run = windows(self.words.hash, width)[self.at] if len(self.at) else np.zeros(0, U)
-        order = np.argsort(run)
+        self.words = w = words(texts, lanes=2)
+        self.ids = doc_ids.fill_null(int(_LAST)).to_numpy(zero_copy_only=False).astype(np.int64)
+        # where windows begin, and in which of the batch's documents
+        self.at, self.of = (x.astype(np.int32) for x in within(w.first, width))
+        run = windows(w.hash, width)[self.at] if len(self.at) else np.zeros(0, U)
+        other = (windows(w.other, width) >> U(32)).astype(np.uint32)[self.at] if len(self.at) else np.zeros(0, np.uint32)
+        w.hash = w.other = None
+        order = np.argsort(run).astype(np.int32)
         run, other = run[order], other[order]
         if ((run[1:] == run[:-1]) & (other[1:] != other[:-1])).any():  # one hash, different windows
             again = np.lexsort((other, run))
             order, run, other = order[again], run[again], other[again]
-        new = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (other[1:] != other[:-1])])) if len(run) else np.zeros(0, np.int64)
+        fresh = np.ones(len(run), bool)
+        fresh[1:] = (run[1:] != run[:-1]) | (other[1:] != other[:-1])
+        new = np.flatnonzero(fresh)
         self.hash = run[new]
-        self.least = np.minimum.reduceat(self.doc[order], new) if len(new) else np.zeros(0, np.int64)
-        self.kind = np.empty(len(run), np.int64)  # of each window, its place among the different ones
-        self.kind[order] = np.repeat(np.arange(len(new)), np.diff(np.concatenate([new, [len(run)]])))
-        bucket = other[new].astype(U) % U(buckets)
-        self.by_bucket = np.argsort(bucket, kind="stable")
-        self.begin = np.searchsorted(bucket[self.by_bucket], np.arange(buckets + 1, dtype=U))
+        del run
+        self.least = np.minimum.reduceat(self.ids[self.of[order]], new) if len(new) else np.zeros(0, np.int64)
+        self.kind = np.empty(len(order), np.int32)  # of each window, its place among the different ones
+        self.kind[order] = np.cumsum(fresh, dtype=np.int32) - 1
+        del order, fresh
+        bucket = (other[new] % np.uint32(min(buckets, 2**32 - 1))).astype(np.uint32)
+        self.by_bucket = np.argsort(bucket, kind="stable").astype(np.int32)
+        size = np.bincount(bucket) if len(bucket) else np.zeros(0, np.int64)
+        self.full = np.flatnonzero(size)  # the buckets that get something, and where each begins
+        self.begin = np.concatenate([[0], np.cumsum(size[self.full])]).astype(np.int64)
+
+    def sent_to(self, k: int) -> np.ndarray:
+        return self.by_bucket[self.begin[k] : self.begin[k + 1]]
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -123,13 +132,17 @@ def _send(width: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for i in range(rows.num_rows):
-                b = _Batch(*_opened(rows.column("docs")[i].as_py()), width, buckets)
-                full = np.flatnonzero(np.diff(b.begin))
-                out = [b.by_bucket[b.begin[k] : b.begin[k + 1]] for k in full.tolist()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(full, pa.int64()), pa.array(np.full(len(full), rows.column("batch")[i].as_py()), pa.int64()), pa.array([_steps(b.hash[x]) for x in out], pa.binary()), pa.array([_planes(b.least[x]) for x in out], pa.binary())],
-                    names=["bucket", "batch", "hashes", "least"],
-                )
+                number, b = rows.column("batch")[i].as_py(), _Batch(*_opened(rows.column("docs")[i].as_py()), width, buckets)
+                b.words = b.at = b.of = b.kind = None
+                cuts = np.searchsorted(b.begin, np.arange(0, len(b.hash) + SENT // 16, SENT // 16))
+                for first, last in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    out = [b.sent_to(k) for k in range(first, min(last, len(b.full)))]
+                    if out:
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(b.full[first : first + len(out)], pa.int64()), pa.array([number] * len(out), pa.int64()), pa.array([_steps(b.hash[x]) for x in out], pa.binary()), pa.array([_planes(b.least[x]) for x in out], pa.binary())],
+                            names=["bucket", "batch", "hashes", "least"],
+                        )
+                del b
 
     return run
 
@@ -192,8 +205,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, outputs: tuple[str, ...] =
     body = docs.select(docs[key].cast("bigint").alias("doc_id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
     total = text_bytes(body)
     buckets = deal(spark, 2 * total, BUCKET)
-    size = min(MOST, max(LEAST, RUN * buckets))
-    stored = written(batched(body, size), "batches")
+    stored = written(batched(body, SIZE), "batches")
     sent = stored.mapInArrow(_send(width, buckets), "bucket bigint, batch bigint, hashes binary, least binary")
     answers = sent.groupBy("bucket").applyInArrow(_answer, "batch bigint, bucket bigint, known binary")
     by_batch = answers.groupBy("batch").agg(F.collect_list(F.struct("bucket", "known")).alias("known"))
@@ -206,9 +218,10 @@ def remove_repeats(docs: DataFrame, width: int = 13, outputs: tuple[str, ...] =
                 b = _Batch(ids, texts, width, buckets)
                 elsewhere = np.zeros(len(b.hash), bool)
                 for answer in rows.column("known")[i].as_py() or ():
-                    k = answer["bucket"]
-                    elsewhere[b.by_bucket[b.begin[k] : b.begin[k + 1]][np.frombuffer(answer["known"], "<u4")]] = True
-                marked = elsewhere[b.kind] | (b.least[b.kind] < b.doc) if len(b.at) else np.zeros(0, bool)
+                    k = int(np.searchsorted(b.full, answer["bucket"]))
+                    elsewhere[b.sent_to(k)[np.frombuffer(answer["known"], "<u4")]] = True
+                marked = elsewhere[b.kind] | (b.least[b.kind] < b.ids[b.of]) if len(b.at) else np.zeros(0, bool)
+                b.hash = b.least = b.kind = b.of = None
                 gone = _intervals(b.words, b.at[marked], width)
                 made: dict[str, pa.Array] = {"n_words": pa.array(np.diff(b.words.first), pa.int64())}
                 so_far = np.concatenate([[0], np.cumsum(gone)])
