@@ -4,6 +4,7 @@ import datetime
 import hashlib
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import pytest
@@ -20,46 +21,72 @@ def measured(text):
     n = Counter(zip(w, w[1:], w[2:], strict=False))
     covered = {i + k for i, x in enumerate(zip(w, w[1:], w[2:], strict=False)) if n[x] > 1 for k in range(3)}
     lines = [x for x in (text or "").split("\n") if WORD.search(x)]
-    return {"n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": len(re.findall(r"[#*$%&|<>]", text or "")), "n_lines": len(lines), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(covered)}
+    return {"n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": len(re.findall(r"[#*$%&|<>]", text or "")), "n_alnum": sum(unicodedata.category(c)[0] in "LN" for c in text or ""), "n_lines": len(lines), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(covered)}
 
 
-def judged(rows, spread, least):
+def judged(rows, least):
+    """Each ratio by the fences of its group: quantiles of buckets, of which a value keeps its 8 leading bits."""
     out, groups = [], {}
     for r in rows:
         m = measured(r[1])
         m["base_failed"] = m["n_words"] < 50 or 100 * m["n_repeat_words"] > 50 * m["n_words"]
-        for k, (top, bottom, scale, _, _) in quality.RATIOS.items():
-            m[k] = m[top] * scale // m[bottom] if m[bottom] else 0
+        for k, (top, bottom, scale, *_) in quality.RATIOS.items():
+            m[k] = eval(top, {}, m) * scale // m[bottom] if m[bottom] else 0
             if not m["base_failed"]:
+                bits = max(0, m[k].bit_length() - 8)
                 for g in ((r[2], r[3]), (r[2],), ()):
-                    groups.setdefault((g, k), []).append(m[k])
+                    groups.setdefault((g, k), []).append(m[k] >> bits << bits)
         out.append(m)
     for r, m in zip(rows, out, strict=True):
         m["kept"] = not m["base_failed"]
-        for k, (_, _, _, floor, both) in quality.RATIOS.items():
+        for k, (_, _, _, lower, upper, spread, both) in quality.RATIOS.items():
             for g in ((r[2], r[3]), (r[2],), ()):
                 got = sorted(groups.get((g, k), []))
                 if got and (len(got) >= least or not g):
-                    q1, q3 = (got[-(-len(got) * q // 4) - 1] for q in (1, 3))
-                    reach = max(spread * (q3 - q1), floor)
-                    m["kept"] &= not (m[k] > q3 + reach or (both and m[k] < q1 - reach))
-                    break
+                    a, b = (got[-(-len(got) * q // 100) - 1] for q in (lower, upper))
+                    if b > a or not g:
+                        m["kept"] &= not (m[k] > b + spread * (b - a) or (both and m[k] < a - spread * (b - a)))
+                        m[f"_high_{k}"] = b + spread * (b - a)
+                        break
     return out
 
 
-@pytest.mark.parametrize("spread,least", [(6, 100), (0, 3)])
-def test_quality(awkward, nothing, spread, least):
-    got = quality.judge(awkward, spread=spread, least=least).collect()
-    names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", *quality.RATIOS, "base_failed", "kept"]
+@pytest.mark.parametrize("least", [100, 3])
+def test_quality(awkward, nothing, least):
+    got = quality.judge(awkward, least=least).collect()
+    names = ["n_words", "word_chars", "n_symbols", "n_alnum", "n_lines", "n_dup_lines", "n_repeat_words", *quality.RATIOS, "base_failed", "kept"]
     rows = awkward_rows()
-    want = Counter((r[0], r[1], *(m[k] for k in names)) for r, m in zip(rows, judged(rows, spread, least), strict=True))
+    want = Counter((r[0], r[1], *(m[k] for k in names)) for r, m in zip(rows, judged(rows, least), strict=True))
     assert Counter((r.row.doc_id, r.row.text, *(r[k] for k in names)) for r in got) == want
-    kept = quality.keep_good(awkward, spread=spread, least=least)
+    kept = quality.keep_good(awkward, least=least)
     assert kept.columns == awkward.columns
-    assert Counter(map(tuple, kept.collect())) == Counter(r for r, m in zip(rows, judged(rows, spread, least), strict=True) if m["kept"])
+    assert Counter(map(tuple, kept.collect())) == Counter(r for r, m in zip(rows, judged(rows, least), strict=True) if m["kept"])
     assert quality.judge(nothing).collect() == [] and quality.quality_table(nothing).collect() == []
 
 
+def test_fences_follow_their_group(spark):
+    """One text is sound where its source writes so, and beyond the fence where it doesn't; nothing but quantiles decides."""
+    rng = random.Random(3)
+
+    def prose(marks):
+        return " ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(3, 8))) + "".join(rng.choice("!?;") for _ in range(rng.choice(marks))) for _ in range(100))
+
+    rows = [(i, prose((0, 0, 0, 1)), "en", "prose", 0) for i in range(120)] + [(1000 + i, prose((2, 3, 4)), "en", "code", 0) for i in range(120)]
+    rows += [(2000, rows[130][1], "en", "prose", 0), (2001, rows[5][1], "en", "code", 0)]
+    got = {r.doc_id: r for r in quality.quality_table(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")).collect()}
+    assert [got[i].kept for i in (5, 1010, 2000)] == [True, True, False]
+    assert got[5].mark_ratio_fence < got[2000].mark_ratio < got[1010].mark_ratio_fence
+    for i, m in zip([r[0] for r in rows], judged(rows, 100), strict=True):
+        assert got[i].mark_ratio_fence == m["_high_mark_ratio"] and got[i].word_length_fence == m["_high_word_length"]
+
+
+@pytest.mark.parametrize("x", [0, 1, 127, 255, 256, 257, 511, 513, 99_999, 100_000, 2**40 + 12345])
+def test_buckets(spark, x):
+    at = spark.range(1).selectExpr(f"{x}L AS x").select(quality.bucket("x").alias("at")).first().at
+    bits = max(0, x.bit_length() - 8)
+    assert at == x >> bits << bits and x - at <= x / 128
+
+
 def test_quality_rejects_junk_only(spark):
     rng = random.Random(1)
     prose = lambda: " ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 8))) for _ in range(120))

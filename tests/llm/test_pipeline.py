@@ -29,7 +29,7 @@ def expected(spark, sf, encoding):
     docs = spark.read.parquet(f"{sf}/documents.parquet").toPandas()
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     rows = [(r.doc_id, r.text, r.lang, r.source) for r in docs.itertuples()]
-    rows = [r for r, m in zip(rows, judged(rows, 6, 100), strict=True) if m["kept"]]
+    rows = [r for r, m in zip(rows, judged(rows, 100), strict=True) if m["kept"]]
     first = {i for i, c in near([(r[0], r[1]) for r in rows]) if i == c}
     rows = [r for r in rows if r[0] in first]
     bad = {k[0] for k in leaked([(r[0], r[1]) for r in rows], items)}

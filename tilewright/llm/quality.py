@@ -1,18 +1,23 @@
 """Quality rules whose thresholds follow the corpus: fences from mergeable quantile sketches.
 
-Base rules are fixed. Beyond them, a document is judged by four ratios, as whole
-thousandths (hundredths of a character for the mean word length): symbols to word
-characters, repeated lines to lines, words in repeated 3-word windows to words, and word
-characters to words. A sketch of a ratio is a histogram on that whole-number grid: a
-fixed number of buckets at most, exact to the grid, and two merge by adding counts, so a
-sketch of a (language, source) is a grouped count, and that of a language or of the corpus
-is the sum of its parts. From its quartiles follow fences,
-
-    q75 + max(spread * (q75 - q25), floor)   and, for word length, the same below q25,
-
-and a document beyond a fence of its own language and source is rejected. Groups under
-``least`` documents take the fences of their language, or of all. Documents that the base
-rules reject don't shape the sketches.
+Base rules are fixed. Beyond them, a document is judged by four ratios, as whole numbers:
+characters in words that are neither letters nor digits, and repeated lines and words in repeated 3-word
+windows by their totals, in hundred-thousandths; and the mean word length in thousandths of a
+character. A sketch of a ratio is a histogram over logarithmic buckets, each power of two cut
+in 128 parts: at most ``BUCKETS`` of them, a relative error under 1/128, and two merge by adding
+counts. So a sketch of a (language, source) is a grouped count, that of a language or of the
+corpus is the sum of its parts, and no order of merging, nor a task that is run again, changes
+it (which a randomised sketch doesn't give). From its quantiles follow fences,
+
+    high = upper + spread * (upper - lower)      low = lower - spread * (upper - lower)
+
+with quartiles and a spread of 6 for these characters and word length (which is fenced on both sides), and
+with the median, the 99th percentile and a spread of 1 for repetition, as most documents have
+none, so that quartiles would be 0. There is no fixed cutoff: a document beyond a fence of its
+own language and source is rejected. A group of under ``least`` documents, or one whose two
+quantiles are equal and so tell no spread, takes that ratio's fence from its language, or else from
+all, whatever their number and spread. Documents that the base rules reject don't shape the
+sketches.
 
 DataFrame operations only. Cases: a null text has no words and fails the base rules, as
 does an empty one; a null language or source is a group of its own, apart from ''; equal
@@ -31,19 +36,21 @@ from tilewright.llm.store import written
 SPACES = " \t\n\x0b\f\r"
 SEPARATOR = r"[ \x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-#: Low bits of a packed long that hold a word's number; the rest are bits of a window's hash.
-_PLACE = 28
+#: Low bits of a packed long that hold a word's number, as many as an array's length can need; the rest are bits of a window's hash.
+_PLACE = 31
 _MASK = (1 << _PLACE) - 1
 
-#: Ratio: (numerator, denominator, scale, floor of the fence, fenced below as well).
+#: Ratio: (numerator, denominator, scale, lower and upper quantile in hundredths, spread, fenced below as well).
 RATIOS = {
-    "symbol_ratio": ("n_symbols", "word_chars", 1000, 50, False),
-    "dup_line_ratio": ("n_dup_lines", "n_lines", 1000, 500, False),
-    "repeat_ratio": ("n_repeat_words", "n_words", 1000, 400, False),
-    "word_length": ("word_chars", "n_words", 100, 300, True),
+    "mark_ratio": ("word_chars - n_alnum", "word_chars", 100_000, 25, 75, 6, False),
+    "dup_line_ratio": ("n_dup_lines", "n_lines", 100_000, 50, 99, 1, False),
+    "repeat_ratio": ("n_repeat_words", "n_words", 100_000, 50, 99, 1, False),
+    "word_length": ("word_chars", "n_words", 1000, 25, 75, 6, True),
 }
-#: Largest grid value: longer words than 10,000 characters on average share the last bucket.
-TOP = 1_000_000
+#: Leading bits of a ratio that name its bucket.
+BITS = 8
+#: Most buckets of a sketch: a text's ratios stay under 2**41.
+BUCKETS = (41 - BITS + 2) << (BITS - 1)
 
 
 def _neighbour_equal(items: str, item: Column, i: Column, of) -> Column:
@@ -52,7 +59,7 @@ def _neighbour_equal(items: str, item: Column, i: Column, of) -> Column:
 
 
 def measures(rows: DataFrame, text: str = "_text") -> DataFrame:
-    """``rows`` with n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words of a text column without nulls.
+    """``rows`` with n_words, word_chars, n_symbols, n_alnum, n_lines, n_dup_lines and n_repeat_words of a text column without nulls.
 
     Repeated windows are found inside the row: hashes of 3-word windows are sorted with
     their places packed in the low bits, neighbours that agree in the high bits are
@@ -77,73 +84,81 @@ def measures(rows: DataFrame, text: str = "_text") -> DataFrame:
         F.col("_n").alias("n_words"),
         bare.cast("bigint").alias("word_chars"),
         (F.char_length(t) - F.char_length(F.translate(t, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
+        F.char_length(F.regexp_replace(t, r"[^\p{L}\p{N}]+", "")).cast("bigint").alias("n_alnum"),
         F.size("_l").cast("bigint").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("bigint").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
     )
 
 
-def _grid(name: str) -> Column:
-    top, bottom, scale, _, _ = RATIOS[name]
-    return F.when(F.col(bottom) > 0, F.least(F.lit(TOP), F.expr(f"({top} * {scale}) div {bottom}"))).otherwise(F.lit(0)).cast("bigint")
+def _ratio(name: str) -> Column:
+    top, bottom, scale, *_ = RATIOS[name]
+    return F.when(F.expr(f"{bottom} > 0"), F.expr(f"(({top}) * {scale}) div {bottom}")).otherwise(F.lit(0)).cast("bigint")
+
+
+def bucket(x: str) -> Column:
+    """The least value of the bucket that a whole number of 0 or more falls in: its leading bits."""
+    shift = f"greatest(0, length(bin({x})) - {BITS})"
+    return F.expr(f"shiftleft(shiftright({x}, {shift}), {shift})")
 
 
 def sketches(measured: DataFrame) -> DataFrame:
     """(_lang, _source, ratio, at, n): the histogram of each ratio for each language and source."""
-    points = F.explode(F.array(*[F.struct(F.lit(k).alias("ratio"), F.col(k).alias("at")) for k in RATIOS]))
+    points = F.explode(F.array(*[F.struct(F.lit(k).alias("ratio"), bucket(k).alias("at")) for k in RATIOS]))
     return measured.where(~F.col("base_failed")).select("_lang", "_source", points.alias("point")).groupBy("_lang", "_source", "point.ratio", "point.at").agg(F.count(F.lit(1)).alias("n"))
 
 
 def merged(sketch: DataFrame, *by: str) -> DataFrame:
-    """Sketches of coarser groups: counts on the same grid add up."""
+    """Sketches of coarser groups: counts of the same bucket add up."""
     return sketch.groupBy(*by, "ratio", "at").agg(F.sum("n").alias("n"))
 
 
-def fences(sketch: DataFrame, by: list[str], spread: int, least: int) -> DataFrame:
-    """(by, low, high as maps by ratio) of groups with ``least`` documents or more. A group's histogram is small and is folded in one row."""
+def fences(sketch: DataFrame, by: list[str], least: int) -> DataFrame:
+    """(by, low, high as maps by ratio) of groups with ``least`` documents or more, without ratios of no spread but for the group of all. A sketch has ``BUCKETS`` rows at most and is folded in one."""
     cells = sketch.groupBy(*by, "ratio").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("cells"), F.sum("n").alias("total"))
-    # the smallest grid value with at least a share q of the documents at or below it
+    setting = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, r in RATIOS.items() for x in (k, r[i])]), F.col("ratio"))
+    # the smallest bucket with at least a share of the documents in it or below
 
-    def quantile(quarters: int) -> Column:
+    def quantile(hundredths: Column) -> Column:
         start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("bigint").alias("at"))
-        step = lambda a, x: F.struct((a["n"] + x["n"]).alias("n"), F.coalesce(a["at"], F.when(4 * (a["n"] + x["n"]) >= quarters * F.col("total"), x["at"])).alias("at"))
+        step = lambda a, x: F.struct((a["n"] + x["n"]).alias("n"), F.coalesce(a["at"], F.when(100 * (a["n"] + x["n"]) >= hundredths * F.col("total"), x["at"])).alias("at"))
         return F.aggregate("cells", start, step, lambda a: a["at"])
 
-    quartiles = cells.where(F.col("total") >= least).withColumn("q1", quantile(1)).withColumn("q3", quantile(3))
-    floor = F.create_map(*[F.lit(x) for k, r in RATIOS.items() for x in (k, r[3])])
-    both = F.create_map(*[F.lit(x) for k, r in RATIOS.items() for x in (k, r[4])])
-    reach = F.greatest(spread * (F.col("q3") - F.col("q1")), F.element_at(floor, F.col("ratio")).cast("bigint"))
-    made = quartiles.select(*by, "ratio", F.when(F.element_at(both, F.col("ratio")), F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
+    both = cells.where(F.col("total") >= least).withColumn("lower", quantile(setting(3))).withColumn("upper", quantile(setting(4)))
+    if by:
+        both = both.where("upper > lower")
+    reach = setting(5) * (F.col("upper") - F.col("lower"))
+    made = both.select(*by, "ratio", F.when(setting(6), F.col("lower") - reach).alias("low"), (F.col("upper") + reach).alias("high"))
     return made.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("ratio", "low"))).alias("low"), F.map_from_entries(F.collect_list(F.struct("ratio", "high"))).alias("high"))
 
 
-def judge(docs: DataFrame, spread: int = 6, least: int = 100, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+def judge(docs: DataFrame, least: int = 100, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """(row, measures, ratios, base_failed, kept): ``row`` is each row of ``docs``, whole."""
     body = docs.select(F.struct("*").alias("row"), docs[lang].cast("string").alias("_lang"), docs[source].cast("string").alias("_source"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("_text"))
-    return _judged(body, spread, least)
+    return _judged(body, least)
 
 
-def _judged(body: DataFrame, spread: int, least: int) -> DataFrame:
+def _judged(body: DataFrame, least: int) -> DataFrame:
     measured = measures(body)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    rated = written(measured.withColumns({k: _grid(k) for k in RATIOS}).withColumn("base_failed", failed), "measures")
+    rated = written(measured.withColumns({k: _ratio(k) for k in RATIOS}).withColumn("base_failed", failed), "measures")
     fine = written(sketches(rated), "sketches")
-    own = fences(fine, ["_lang", "_source"], spread, least)
-    by_lang = fences(merged(fine, "_lang"), ["_lang"], spread, least)
-    overall = fences(merged(fine), [], spread, 0)
-    # a row for each language and source that occurs, with the nearest group that is large enough
-    groups = fine.select("_lang", "_source").distinct()
-    same = lambda a, b, *k: [a[x].eqNullSafe(b[x]) for x in k]
-    chosen = groups.join(own, same(groups, own, "_lang", "_source"), "left").select(groups["_lang"], groups["_source"], own["low"].alias("low1"), own["high"].alias("high1"))
-    chosen = chosen.join(by_lang, same(chosen, by_lang, "_lang"), "left").select(chosen["_lang"], chosen["_source"], "low1", "high1", by_lang["low"].alias("low2"), by_lang["high"].alias("high2"))
-    chosen = chosen.join(overall.select(F.col("low").alias("low3"), F.col("high").alias("high3")), F.lit(True), "left")
-    chosen = chosen.select("_lang", "_source", F.coalesce("low1", "low2", "low3").alias("_low"), F.coalesce("high1", "high2", "high3").alias("_high"))
-    joined = rated.join(chosen, same(rated, chosen, "_lang", "_source"), "left").drop(chosen["_lang"]).drop(chosen["_source"])
+    levels = [(fences(fine, ["_lang", "_source"], least), ["_lang", "_source"]), (fences(merged(fine, "_lang"), ["_lang"], least), ["_lang"]), (fences(merged(fine), [], 0), [])]
+    # a row for each language and source that occurs, with what each level tells
+    chosen = fine.select("_lang", "_source").distinct()
+    for i, (level, by) in enumerate(levels):
+        level = level.select(*[F.col(k).alias(f"k{k}") for k in by], F.col("low").alias(f"low{i}"), F.col("high").alias(f"high{i}"))
+        same = F.lit(True)
+        for k in by:
+            same = same & chosen[k].eqNullSafe(level[f"k{k}"])
+        chosen = chosen.join(level, same, "left").drop(*[f"k{k}" for k in by])
+    pick = lambda side, k: F.coalesce(*[F.element_at(f"{side}{i}", k) for i in range(len(levels))])
+    chosen = chosen.select(F.col("_lang").alias("_l"), F.col("_source").alias("_s"), *[pick(side, k).alias(f"_{side}_{k}") for k in RATIOS for side in ("low", "high")])
+    joined = rated.join(chosen, rated["_lang"].eqNullSafe(chosen["_l"]) & rated["_source"].eqNullSafe(chosen["_s"]), "left")
     beyond = F.lit(False)
     for k in RATIOS:
-        low, high = F.element_at("_low", k), F.element_at("_high", k)
-        beyond = beyond | F.coalesce((F.col(k) > high) | (F.col(k) < low), F.col(k) > high, F.lit(False))
-    return joined.withColumn("kept", ~F.col("base_failed") & ~beyond).drop("_low", "_high", "_lang", "_source")
+        beyond = beyond | F.coalesce(F.col(k) > F.col(f"_high_{k}"), F.lit(False)) | F.coalesce(F.col(k) < F.col(f"_low_{k}"), F.lit(False))
+    return joined.withColumn("kept", ~F.col("base_failed") & ~beyond)
 
 
 def keep_good(docs: DataFrame, **settings) -> DataFrame:
@@ -151,7 +166,8 @@ def keep_good(docs: DataFrame, **settings) -> DataFrame:
     return judge(docs, **settings).where("kept").select("row.*")
 
 
-def quality_table(docs: DataFrame, key: str = "doc_id", spread: int = 6, least: int = 100) -> DataFrame:
+def quality_table(docs: DataFrame, key: str = "doc_id", least: int = 100) -> DataFrame:
     """The verdict and its measures for each document, without its text."""
     body = docs.select(docs[key].alias("doc_id"), docs["lang"].cast("string").alias("_lang"), docs["source"].cast("string").alias("_source"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("_text"))
-    return _judged(body, spread, least).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *RATIOS)
+    out = _judged(body, least)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *RATIOS, *[F.col(f"_high_{k}").alias(f"{k}_fence") for k in RATIOS])

@@ -46,30 +46,33 @@ g AS (SELECT r, i, w[i] || chr(10) || w[i + 1] || chr(10) || w[i + 2] AS g FROM
 f AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1),
 c AS (SELECT r, count(DISTINCT i + k) AS n FROM f, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
 m AS (SELECT w.r, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
-        CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(len(l) AS BIGINT) AS n_lines,
+        CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(length(regexp_replace(t, '[^\p{L}\p{N}]+', '', 'g')) AS BIGINT) AS n_alnum, CAST(len(l) AS BIGINT) AS n_lines,
         CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
       FROM w LEFT JOIN c ON w.r = c.r),
 v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-        CASE WHEN word_chars > 0 THEN least(1000000, 1000 * n_symbols // word_chars) ELSE 0 END AS symbol_ratio,
-        CASE WHEN n_lines > 0 THEN least(1000000, 1000 * n_dup_lines // n_lines) ELSE 0 END AS dup_line_ratio,
-        CASE WHEN n_words > 0 THEN least(1000000, 1000 * n_repeat_words // n_words) ELSE 0 END AS repeat_ratio,
-        CASE WHEN n_words > 0 THEN least(1000000, 100 * word_chars // n_words) ELSE 0 END AS word_length FROM m),
-p AS (SELECT lang, source, ratio, pos FROM (SELECT * FROM v WHERE NOT base_failed) UNPIVOT (pos FOR ratio IN (symbol_ratio, dup_line_ratio, repeat_ratio, word_length))),
+        CASE WHEN word_chars > 0 THEN 100000 * (word_chars - n_alnum) // word_chars ELSE 0 END AS mark_ratio,
+        CASE WHEN n_lines > 0 THEN 100000 * n_dup_lines // n_lines ELSE 0 END AS dup_line_ratio,
+        CASE WHEN n_words > 0 THEN 100000 * n_repeat_words // n_words ELSE 0 END AS repeat_ratio,
+        CASE WHEN n_words > 0 THEN 1000 * word_chars // n_words ELSE 0 END AS word_length FROM m),
+x AS (UNPIVOT v ON mark_ratio, dup_line_ratio, repeat_ratio, word_length INTO NAME ratio VALUE pos),
+p AS (SELECT lang, source, ratio, (pos >> greatest(0, length(bin(pos)) - 8)) << greatest(0, length(bin(pos)) - 8) AS pos FROM x WHERE NOT base_failed),
 s AS (SELECT 1 AS level, lang, source, ratio, pos, count(*) AS n FROM p GROUP BY ALL
       UNION ALL SELECT 2, lang, NULL, ratio, pos, count(*) FROM p GROUP BY ALL
       UNION ALL SELECT 3, NULL, NULL, ratio, pos, count(*) FROM p GROUP BY ALL),
 u AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, ratio ORDER BY pos) AS up, sum(n) OVER (PARTITION BY level, lang, source, ratio) AS total FROM s),
-q AS (SELECT level, lang, source, ratio, min(pos) FILTER (4 * up >= total) AS q1, min(pos) FILTER (4 * up >= 3 * total) AS q3 FROM u WHERE level = 3 OR total >= 100 GROUP BY ALL),
-e AS (SELECT level, lang, source, ratio,
-        CASE WHEN ratio = 'word_length' THEN q1 - greatest(6 * (q3 - q1), 300) END AS low,
-        q3 + greatest(6 * (q3 - q1), CASE ratio WHEN 'symbol_ratio' THEN 50 WHEN 'dup_line_ratio' THEN 500 WHEN 'repeat_ratio' THEN 400 ELSE 300 END) AS high FROM q),
-x AS (SELECT v.r, k.ratio, CASE k.ratio WHEN 'symbol_ratio' THEN symbol_ratio WHEN 'dup_line_ratio' THEN dup_line_ratio WHEN 'repeat_ratio' THEN repeat_ratio ELSE word_length END AS pos, lang, source
-      FROM v, (SELECT unnest(['symbol_ratio', 'dup_line_ratio', 'repeat_ratio', 'word_length']) AS ratio) k),
-y AS (SELECT x.r, bool_or(x.pos > coalesce(a.high, b.high, c.high) OR (x.ratio = 'word_length' AND x.pos < coalesce(a.low, b.low, c.low))) AS beyond
+q AS (SELECT level, lang, source, ratio, min(pos) FILTER (100 * up >= CASE WHEN ratio IN ('mark_ratio', 'word_length') THEN 25 ELSE 50 END * total) AS a,
+        min(pos) FILTER (100 * up >= CASE WHEN ratio IN ('mark_ratio', 'word_length') THEN 75 ELSE 99 END * total) AS b FROM u WHERE level = 3 OR total >= 100 GROUP BY ALL),
+e AS (SELECT level, lang, source, ratio, CASE WHEN ratio = 'word_length' THEN a - 6 * (b - a) END AS low, b + CASE WHEN ratio IN ('mark_ratio', 'word_length') THEN 6 ELSE 1 END * (b - a) AS high FROM q WHERE b > a OR level = 3),
+z AS (SELECT x.r, x.ratio, x.pos, coalesce(a.high, b.high, c.high) AS high, coalesce(a.low, b.low, c.low) AS low
       FROM x LEFT JOIN e a ON a.level = 1 AND a.lang IS NOT DISTINCT FROM x.lang AND a.source IS NOT DISTINCT FROM x.source AND a.ratio = x.ratio
              LEFT JOIN e b ON b.level = 2 AND b.lang IS NOT DISTINCT FROM x.lang AND b.ratio = x.ratio
-             LEFT JOIN e c ON c.level = 3 AND c.ratio = x.ratio GROUP BY x.r)
+             LEFT JOIN e c ON c.level = 3 AND c.ratio = x.ratio),
+g1 AS (SELECT DISTINCT lang, source FROM v WHERE NOT base_failed),
+y AS (SELECT r, bool_or(coalesce(pos > high, false) OR coalesce(pos < low, false)) AS beyond, max(high) FILTER (ratio = 'mark_ratio') AS f1, max(high) FILTER (ratio = 'dup_line_ratio') AS f2,
+        max(high) FILTER (ratio = 'repeat_ratio') AS f3, max(high) FILTER (ratio = 'word_length') AS f4 FROM z GROUP BY r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(beyond, false) AS kept,
-  CAST(symbol_ratio AS BIGINT) AS symbol_ratio, CAST(dup_line_ratio AS BIGINT) AS dup_line_ratio, CAST(repeat_ratio AS BIGINT) AS repeat_ratio, CAST(word_length AS BIGINT) AS word_length
-FROM v LEFT JOIN y ON v.r = y.r
+  CAST(mark_ratio AS BIGINT) AS mark_ratio, CAST(dup_line_ratio AS BIGINT) AS dup_line_ratio, CAST(repeat_ratio AS BIGINT) AS repeat_ratio, CAST(word_length AS BIGINT) AS word_length,
+  CAST(CASE WHEN g1.hit THEN f1 END AS BIGINT) AS mark_ratio_fence, CAST(CASE WHEN g1.hit THEN f2 END AS BIGINT) AS dup_line_ratio_fence,
+  CAST(CASE WHEN g1.hit THEN f3 END AS BIGINT) AS repeat_ratio_fence, CAST(CASE WHEN g1.hit THEN f4 END AS BIGINT) AS word_length_fence
+FROM v LEFT JOIN y ON v.r = y.r LEFT JOIN (SELECT *, true AS hit FROM g1) g1 ON g1.lang IS NOT DISTINCT FROM v.lang AND g1.source IS NOT DISTINCT FROM v.source
 """
