@@ -12,7 +12,7 @@ iban       remainder 1 modulo 97          letters and digits of the account; che
 ssn        area, group, serial in range   898 x (99 x 9999) numbers
 ip         four octets up to 255          2**16 x 2**16 addresses
 phone      ten digits, or + and 8 to 15   800 x 8,000,000 numbers; others keep leading digits
-date       a day of 1900 to 2099          17 x 4297 days
+date       a day of 1900 to 2099          17 x 4297 days, among those up to the 12th or those after
 email      name@host.domain               name, and host names, by character class
 key        AKIA and 16 characters         those 16, by character class
 secret     password=..., Token: "...",    the value, by character class
@@ -24,6 +24,11 @@ add a keyed SHA-256 value of one half to the other, modulo its size), so domains
 be powers. A string is a Feistel network whose halves are characters, each shifted in
 its own class (digit, capital, small letter); other characters stay.
 
+Dates with slashes are read month first where that is a day, else day first. So that no two of them
+meet, days up to the 12th of a month, which may be read either way, are permuted among
+themselves, and so are the others: a step that leaves its own is followed by another one
+(128 at most, which a day in 1e28 would need).
+
 DataFrame operations only, row by row, without a shuffle. Cases: a null text stays null, an
 empty one empty; what looks like a number but isn't valid stays as it is; numbers beside
 others, joined by a space or hyphen, are told apart by their groups (``RUN``); texts of any
@@ -223,16 +228,23 @@ def _date(key: str, m: Column) -> Column:
     month = F.when(iso, F.substr(m, F.lit(6), F.lit(2))).when(swap, first).otherwise(second)
     day = F.when(iso, F.substr(m, F.lit(9), F.lit(2))).when(swap, second).otherwise(first)
 
+    zero = F.lit("1900-01-01").cast("date")
+    as_date = lambda r: F.date_add(zero, (r["l"] * 4297 + r["r"]).cast("int"))
+    turned = lambda r: residues(key, "date", r["l"], r["r"], 17, 4297)
+
     def checked(p: Column) -> Column:
         start = F.make_date(p["y"], p["m"], F.lit(1))
         real = F.when(p["y"].between(1900, 2099) & p["m"].between(1, 12), (p["d"] >= 1) & (p["d"] <= F.dayofmonth(F.last_day(start)))).otherwise(False)
-        number = F.datediff(F.make_date(p["y"], p["m"], p["d"]), F.lit("1900-01-01").cast("date"))
+        number = _int(F.datediff(F.make_date(p["y"], p["m"], p["d"]), zero))
 
         def made(r: Column) -> Column:
-            new = F.date_add(F.lit("1900-01-01").cast("date"), (r["l"] * 4297 + r["r"]).cast("int"))
+            new = as_date(r)
             return F.when(iso, F.date_format(new, "yyyy-MM-dd")).when(dotted, F.date_format(new, "dd.MM.yyyy")).when(swap, F.date_format(new, "MM/dd/yyyy")).otherwise(F.date_format(new, "dd/MM/yyyy"))
 
-        return F.when(real, _let(residues(key, "date", F.floor(number / 4297), number % 4297, 17, 4297), made))
+        own = lambda r: (F.dayofmonth(as_date(r)) > 12) == (p["d"] > 12)
+        first = turned(F.struct(_int(F.floor(number / 4297)).alias("l"), (number % 4297).alias("r")))
+        walked = F.aggregate(F.sequence(F.lit(1), F.lit(127)), first, lambda r, _: F.when(own(r), r).otherwise(turned(r)))
+        return F.when(real, _let(walked, made))
 
     return _let(F.struct(year.cast("int").alias("y"), month.cast("int").alias("m"), day.cast("int").alias("d")), checked)
 
