@@ -127,6 +127,29 @@ def test_keep_one(awkward, nothing):
     assert near_dup.keep_one(nothing).collect() == []
 
 
+def test_one_row_of_each_class_stays(spark):
+    """Rows that share an id, rows of one id and text, and rows that are equal in all."""
+    rng = random.Random(9)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    rows = [(3, a, "x"), (3, b, "x"), (1, b, "y"), (2, a + " tail", "z"), (4, c, "x"), (4, c, "y"), (4, c, "y"), (5, c + " tail", "x"), (6, None, "x"), (6, None, "x"), (7, "!", "x"), (None, a, "x"), (None, a, "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, more string").repartition(3)
+    got = Counter(map(tuple, near_dup.keep_one(docs).collect()))
+    fours = [r for r in got if r[0] == 4]
+    assert len(fours) == 1 and got.pop(fours[0]) == 1 and fours[0][1] == c
+    assert got == Counter([(1, b, "y"), (2, a + " tail", "z"), *rows[8:]])
+    assert near_dup.keep_one(docs.repartition(1)).where("doc_id = 4").first() == fours[0]
+    assert Counter(map(tuple, near_dup.classes(docs).where("doc_id IS NOT NULL").collect())) == brute([r[:2] for r in rows if r[0] is not None])
+
+
+@pytest.mark.parametrize("heads", [2, 0])
+def test_ids_with_many_texts(spark, monkeypatch, heads):
+    """Near copies whose ids all repeat: each row by its own words, in rounds of heads and in blocks."""
+    monkeypatch.setattr(near_dup, "HEADS", heads)
+    rows = [(i % 7, t) for i, t in variants(5, 8)]
+    got = Counter(map(tuple, near_dup.classes(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()))
+    assert got == brute(rows)
+
+
 @pytest.mark.parametrize("words", [1, 2, 4, 5])
 def test_short(spark, words):
     text = " ".join("abcdefg"[:words])

@@ -21,8 +21,9 @@ component of links.
 Words are runs of letters and digits, lower case. A document of 1 to 4 words has one
 shingle. Cases: a null text, or one without words, is alone in its class; a null doc_id
 has a null class and is linked with nothing; equal rows are in one class, each with its own
-row; rows that share an id but not the text are judged each by its own words, while a link
-of one holds for the id; an empty table gives an empty table; other columns stay out.
+row; rows that share an id but not the text are judged each by its own words, as each different
+text has a number of its own (two classes may then have the same smallest id); an empty table
+gives an empty table; other columns stay out.
 """
 
 from __future__ import annotations
@@ -56,8 +57,8 @@ def fingerprints(w: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
-    """(doc_id, fp1, fp2, weight, keys, sketch): fingerprint, weight of all shingles, band keys and the
-    low byte of each coordinate of each document."""
+    """(doc_id, content, fp1, fp2, weight, keys, sketch): a hash of the text as it is, fingerprint of its words, weight
+    of all shingles, band keys and the low byte of each coordinate of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 2 << 20):
@@ -71,9 +72,9 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = W
             has = total > 0
             flat = pa.array(keys[has].view(np.int64).reshape(-1), pa.int64())
             at = np.concatenate([[0], np.cumsum(has * bands)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(total), pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat), pa.array([x.tobytes() for x in low], pa.binary())], names=["doc_id", "fp1", "fp2", "weight", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("content"), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(total), pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat), pa.array([x.tobytes() for x in low], pa.binary())], names=["doc_id", "content", "fp1", "fp2", "weight", "keys", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id bigint, fp1 bigint, fp2 bigint, weight bigint, keys array<bigint>, sketch binary")
+    return docs.mapInArrow(run, "doc_id bigint, content bigint, fp1 bigint, fp2 bigint, weight bigint, keys array<bigint>, sketch binary")
 
 
 def similarity(pairs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -126,7 +127,7 @@ def _likely(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) that are similar. Weights already rule out pairs whose sizes differ too much, so a text is sent along with texts of its own size only."""
-    a, b = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}")) for k in ("a", "b"))
+    a, b = (texts.select(F.col("id").alias(k), F.col("text").alias(f"text_{k}")) for k in ("a", "b"))
     return written(similarity(pairs.join(b, "b").join(a, "a")).where(F.col("similarity") >= least).select("a", "b"), "links")
 
 
@@ -154,9 +155,9 @@ def _sets_of(texts: DataFrame, width: int = WIDTH) -> DataFrame:
         for batch in batches:
             for part in pieces(iter([batch]), 2 << 20):
                 made = _sets(part.column("text"), width)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([g.tobytes() for g, _ in made], pa.binary()), pa.array([n.astype("<u4").tobytes() for _, n in made], pa.binary())], names=["id", "grams", "counts"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([g.tobytes() for g, _ in made], pa.binary()), pa.array([n.astype("<u4").tobytes() for _, n in made], pa.binary())], names=["id", "grams", "counts"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "id bigint, grams binary, counts binary")
+    return texts.select("id", "text").mapInArrow(run, "id bigint, grams binary, counts binary")
 
 
 def _rest(shared: DataFrame, labels: DataFrame | None, texts: DataFrame, least: float) -> DataFrame:
@@ -165,8 +166,8 @@ def _rest(shared: DataFrame, labels: DataFrame | None, texts: DataFrame, least:
     sizes = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("key", "main")
     mixed = written(named.join(main, "key").withColumn("stranger", F.col("label") != F.col("main")).select("key", "id", "label", "weight", "stranger"), "mixed")
-    ids = mixed.select(F.col("id").alias("doc_id")).distinct()
-    sets = written(_sets_of(texts.join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])), "sets")
+    ids = mixed.select("id").distinct()
+    sets = written(_sets_of(texts.join(ids.hint("merge"), "id", "left_semi")), "sets")
 
     def blocks(rows: DataFrame, number: str, held: str) -> DataFrame:
         many = rows.groupBy("key").agg(F.ceil(F.sum("weight") / SHINGLES).alias("many"))
@@ -222,22 +223,29 @@ def _linked(left: list[tuple], right: list[tuple], least: float) -> list[tuple[i
     return out
 
 
-def classes(docs: DataFrame, least: float = SIMILAR, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, class_id), a row for each row of ``docs``: the smallest id of the class."""
+def _body(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc_id, text, content): a row is told by its id and a hash of its text."""
+    t = docs[text].cast("string")
+    return docs.select(docs[key].cast("bigint").alias("doc_id"), t.alias("text"), F.xxhash64(t).alias("content"))
+
+
+def _rooted(docs: DataFrame, least: float, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Signed rows, and (fp1, fp2, first, root) of each different sequence of words: its first row (doc_id, content) and the number of its class."""
     spark = docs.sparkSession
     bound_batches(spark)
-    body = docs.select(docs[key].cast("bigint").alias("doc_id"), docs[text].cast("string").alias("text"))
+    body = _body(docs, key, text)
     marked = written(signed(body), "signatures")
     some = marked.where(F.col("doc_id").isNotNull() & (F.col("weight") > 0))
     # one for each sequence of words: counts are combined before the shuffle however large a group is
-    alike = written(some.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.first("weight").alias("weight"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "copies")
-    members = alike.select(F.col("rep").alias("id"), "weight", F.explode("keys").alias("key"))
+    one = some.groupBy("fp1", "fp2").agg(F.min(F.struct("doc_id", "content")).alias("first"), F.first("weight").alias("weight"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    alike = written(one.withColumn("id", F.monotonically_increasing_id()), "copies")
+    members = alike.select("id", "weight", F.explode("keys").alias("key"))
     buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     shared = written(members.join(buckets, "key", "left_semi"), "shared-bands")
-    ends = shared.select(F.col("id").alias("rep")).distinct()
-    sketches = written(alike.join(ends, "rep", "left_semi").select(F.col("rep").alias("id"), "sketch").dropDuplicates(["id"]), "sketches")
-    # shuffled at every size, so that the ids of all candidates are never broadcast
-    texts = written(body.join(sketches.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi"), "texts")
+    sketches = written(alike.join(shared.select("id").distinct(), "id", "left_semi").select("id", "first", "sketch"), "sketches")
+    # shuffled at every size, so that the ids of all candidates are never broadcast; repeated rows give one text
+    firsts = sketches.select("id", "first.doc_id", "first.content").hint("merge")
+    texts = written(body.join(firsts, ["doc_id", "content"]).groupBy("doc_id", "content").agg(F.first("id").alias("id"), F.first("text").alias("text")).select("id", "text"), "texts")
     labels, links, seen = None, None, None
     for number in range(HEADS + 1):
         if number < HEADS:
@@ -252,18 +260,38 @@ def classes(docs: DataFrame, least: float = SIMILAR, key: str = "doc_id", text:
             labels = components(links)
     if labels is None:
         labels = spark.createDataFrame([], "id bigint, label bigint")
-    grouped = alike.select("fp1", "fp2", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("fp1", "fp2", F.coalesce("label", "rep").alias("class_id"))
+    return marked, alike.join(labels, "id", "left").select("fp1", "fp2", "first", F.coalesce("label", "id").alias("root"))
+
+
+def classes(docs: DataFrame, least: float = SIMILAR, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, class_id), a row for each row of ``docs``: the smallest id of the class."""
+    marked, rooted = _rooted(docs, least, key, text)
+    rooted = written(rooted, "classes")
+    smallest = rooted.groupBy("root").agg(F.min("first.doc_id").alias("class_id"))
+    grouped = rooted.join(smallest, "root").select("fp1", "fp2", "class_id")
     # copies of one text may be very many: they meet one row
     out = marked.select("doc_id", "fp1", "fp2", "weight").join(grouped, ["fp1", "fp2"], "left")
     return out.select("doc_id", F.when(F.col("weight") > 0, F.when(F.col("doc_id").isNotNull(), F.col("class_id"))).otherwise(F.col("doc_id")).alias("class_id"))
 
 
+#: A character that belongs to a word.
+_WORD = r"[A-Za-z0-9]|[^\x00-\x7F]"
+
+
 def keep_one(docs: DataFrame, least: float = SIMILAR, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its class, once where a whole row is repeated; rows without an id stay."""
-    found = classes(docs, least, key, text)
-    mine = written(found.where(F.col("doc_id") == F.col("class_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept-ids")
-    flag = lambda rows: rows.select(F.col("doc_id").alias("__kept"))
-    same = lambda ids: docs.join(flag(ids), docs[key] == F.col("__kept"), "left_semi")
-    out = same(mine.where("n = 1")).unionByName(docs.where(docs[key].isNull()))
+    """One row of each class: that of the smallest id, then of the smallest hash of its text, then, where rows of
+    that id and text differ in other columns, of the smallest hash of the row. Rows without an id or without words stay."""
+    marked, rooted = _rooted(docs, least, key, text)
+    first = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    mine = written(marked.join(first, ["doc_id", "content"], "left_semi").groupBy("doc_id", "content").agg(F.count(F.lit(1)).alias("n")), "kept-ids")
+    words = F.coalesce(docs[text].cast("string").rlike(_WORD), F.lit(False))
+    alone = docs.where(docs[key].isNull() | ~words)
+    here = [docs[key].cast("bigint") == F.col("__id"), F.xxhash64(docs[text].cast("string")) == F.col("__content")]
+    same = lambda ids: docs.where(words).join(ids.select(F.col("doc_id").alias("__id"), F.col("content").alias("__content")), here, "left_semi")
+    out = same(mine.where("n = 1")).unionByName(alone)
     repeated = mine.where("n > 1")
-    return out if repeated.isEmpty() else out.unionByName(same(repeated).dropDuplicates([key, text]))
+    if repeated.isEmpty():
+        return out
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = same(repeated).groupBy(F.col(f"`{key}`").alias("__id"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("__content")).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("__row"))
+    return out.unionByName(rows.select("__row.*"))
