@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from tests.llm.conftest import awkward_rows, prose
 from tilewright.llm import decontaminate
@@ -63,7 +64,10 @@ def test_blocks_of_items(spark, monkeypatch):
     assert [r.doc_id for r in decontaminate.clean(frame, some).collect()] == [99]
 
 
-def test_blocks_miss_nothing_within_the_radius():
+@pytest.mark.parametrize("held,pairs", [(1 << 21, 1 << 21), (40, 100)])
+def test_blocks_miss_nothing_within_the_radius(monkeypatch, held, pairs):
+    monkeypatch.setattr(decontaminate, "HELD", held)
+    monkeypatch.setattr(decontaminate, "PAIRS", pairs)
     rng = np.random.default_rng(1)
     index = decontaminate.Index(list(range(50)), [prose(random.Random(i), 24) for i in range(50)])
     known = index.lengths[24].prints
@@ -78,6 +82,17 @@ def test_blocks_miss_nothing_within_the_radius():
     assert (full[window, item] == distance).all()
 
 
+@pytest.mark.parametrize("kind", ["smallint", "int", "decimal(10,2)", "double", "boolean", "date", "timestamp", "timestamp_ntz", "binary", "string"])
+def test_item_ids_of_any_type(spark, kind):
+    values = {"boolean": "true", "date": "DATE'2024-02-29'", "timestamp": "TIMESTAMP'2024-02-29 01:02:03.456789'", "timestamp_ntz": "TIMESTAMP_NTZ'2024-02-29 01:02:03'", "binary": "X'00FF10'", "string": "'x''y'"}
+    text = "one two three four five six seven"
+    items = spark.sql(f"SELECT CAST({values.get(kind, '7')} AS {kind}) AS item_id, '{text}' AS text UNION ALL SELECT NULL, 'nothing of that kind here at all'")
+    docs = spark.createDataFrame([("d", f"so {text} it is")], "doc_id string, text string")
+    got = decontaminate.contaminated(docs, items)
+    assert got.schema["item_id"].dataType.simpleString() == kind
+    assert got.join(items.where("item_id IS NOT NULL"), "item_id").count() == got.count() == 1
+
+
 def test_repeated_shingles_are_judged_by_their_count(spark):
     rng = random.Random(5)
     masked = " ".join(["mask"] * 15)

@@ -3,8 +3,10 @@
 An item of n words is compared with windows of n words. A window's fingerprint has 128
 bits: each of its 5-word shingles votes for or against each bit, as often as it occurs.
 The index of an item length holds the fingerprints of its items in 8 blocks of 16 bits.
-Within RADIUS = 35 bits of difference, some block differs in 4 bits at most, so probing
-each block within 4 bits misses no fingerprint within the radius. Candidates are verified
+Within RADIUS = 35 bits of difference, some block differs in 4 bits at most, so looking up
+each block's value in a table of the items within 4 bits of it misses no fingerprint within
+the radius. (A table has 65,536 values; the places of those that occur are filled when they
+first do, and emptied when they hold too much.) Candidates are verified
 by the weighted Jaccard similarity of their shingles; at a similarity of 0.8, 19 bits
 differ on average, with a deviation of 4, where shingles are distinct: a similar window is
 then missed about once in 30,000, by the normal law. Where a shingle occurs more than once in
@@ -19,7 +21,7 @@ the benchmark is read in blocks of bounded size, each broadcast by itself.
 
 Words are runs of letters and digits, lower case. An item of 1 to 4 words is one shingle of
 that many words. Cases: null texts, and items without words, match nothing; a null doc_id
-or item_id is carried as it is; equal rows give equal rows, equal items a row for each id;
+or item_id is carried as it is, of any atomic type; equal rows give equal rows, equal items a row for each id;
 of several windows the most similar counts, of equal ones the first; an empty table, of
 documents or of items, gives an empty table; other columns stay out.
 """
@@ -41,6 +43,8 @@ WIDTH, SIMILAR, RADIUS, BLOCKS = 5, 0.8, 35, 8
 PER_BLOCK = RADIUS // BLOCKS
 #: Items, and characters of items, that are broadcast at once.
 ITEMS, CHARACTERS = 20_000, 16 << 20
+#: Items that the tables of a length hold at most, and pairs of windows and items that are looked at at once.
+HELD, PAIRS = 1 << 21, 1 << 21
 _ONES = np.asarray([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
 
@@ -68,6 +72,18 @@ class _Length:
     repeated: np.ndarray | None = None
     #: Shingles in order, each with an item that holds it and how often.
     holders: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+    #: By block and value, the items whose block is near it.
+    table: dict[tuple[int, int], np.ndarray] = field(default_factory=dict)
+    held: int = 0
+
+    def near(self, block: int, value: int) -> np.ndarray:
+        found = self.table.get((block, value))
+        if found is None:
+            if self.held > HELD:
+                self.table, self.held = {}, 0
+            found = self.table[block, value] = np.flatnonzero(_ONES[self.prints[:, block] ^ np.uint16(value)] <= PER_BLOCK)
+            self.held += len(found) + 1
+        return found
 
 
 class Index:
@@ -103,16 +119,23 @@ class Index:
             self.by_width[width] = (every, table)
 
     def candidates(self, size: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(window, item, distance) within the radius, by blocks: what no block brings near is never compared in full."""
-        known = self.lengths[size].prints
-        near = np.zeros((len(prints), len(known)), bool)
-        for b in range(BLOCKS):
-            values, at = np.unique(known[:, b], return_inverse=True)
-            near |= (_ONES[prints[:, b][:, None] ^ values[None, :]] <= PER_BLOCK)[:, at]
-        window, item = np.nonzero(near)
-        distance = _ONES[prints[window] ^ known[item]].sum(1, dtype=np.int64)
-        keep = distance <= RADIUS
-        return window[keep], item[keep], distance[keep]
+        """(window, item, distance) within the radius, by looking up each block: what no block brings near is never compared in full."""
+        here = self.lengths[size]
+        out = []
+        for part in np.array_split(np.arange(len(prints)), -(-len(prints) * len(here.ids) // PAIRS)):
+            pairs = []
+            for b in range(BLOCKS):
+                values, at = np.unique(prints[part, b], return_inverse=True)
+                lists = [here.near(b, v) for v in values.tolist()]
+                n = np.asarray([len(x) for x in lists])
+                first, every, many = np.cumsum(n) - n, np.concatenate(lists), n[at]
+                place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[at], many)
+                pairs.append(np.repeat(part, many) * len(here.ids) + every[place])
+            window, item = np.divmod(np.unique(np.concatenate(pairs)), len(here.ids))
+            distance = _ONES[prints[window] ^ here.prints[item]].sum(1, dtype=np.int64)
+            keep = distance <= RADIUS
+            out.append((window[keep], item[keep], distance[keep]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def by_count(self, size: int, grams: np.ndarray, repeated: bool, need: int) -> np.ndarray:
         """Items that share ``need`` shingles with a window; without a repeated shingle in the window, only items that have one."""
@@ -190,15 +213,18 @@ def _blocks(items: DataFrame, item_key: str, text: str) -> Iterator[tuple[list,
         yield ids, texts
 
 
-def contaminated(docs: DataFrame, items: DataFrame, least: float = SIMILAR, key: str = "doc_id", item_key: str = "item_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, ``keep``, item_id, first_word, n_words, distance, similarity): a row for each document and item that it holds."""
+def contaminated(docs: DataFrame, items: DataFrame, least: float = SIMILAR, key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
+    """(doc_id, item_id, first_word, n_words, distance, similarity): a row for each document and item that it holds."""
     spark = docs.sparkSession
     bound_batches(spark)
     kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
+    # ids of items travel as strings, which each type can be made into and from
+    as_text, as_id = (F.hex, F.unhex) if item_kind == "binary" else (lambda c: c.cast("string"), lambda c: c.cast(item_kind))
+    items = items.select(as_text(F.col(f"`{item_key}`")).alias("item_id"), F.col(f"`{text}`").alias("text"))
     body = docs.select(docs[key].alias("doc_id"), docs[text].cast("string").alias("text"))
-    schema = f"doc_id {kind}, item_id {item_kind}, first_word bigint, n_words bigint, distance bigint, similarity double"
+    schema = f"doc_id {kind}, item_id string, first_word bigint, n_words bigint, distance bigint, similarity double"
     out = None
-    for ids, texts in _blocks(items, item_key, text):
+    for ids, texts in _blocks(items, "item_id", "text"):
         shared = spark.sparkContext.broadcast((ids, texts))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -208,15 +234,12 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = SIMILAR, key:
                 rows = _scan(index, batch.column("text"), least)
                 doc_ids = batch.column("doc_id").take(pa.array([i for i, _ in rows], pa.int64()))
                 cols = list(zip(*[m for _, m in rows], strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(cols[0], _arrow(item_kind)), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.float64())], names=["doc_id", "item_id", "first_word", "n_words", "distance", "similarity"])
+                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.float64())], names=["doc_id", "item_id", "first_word", "n_words", "distance", "similarity"])
 
         found = body.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], schema)
-
-
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    out = out if out is not None else spark.createDataFrame([], schema)
+    return out.withColumn("item_id", as_id(F.col("item_id")))
 
 
 def _scan(index: Index, texts: pa.Array, least: float) -> list[tuple[int, tuple]]:
