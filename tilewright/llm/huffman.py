@@ -31,6 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tilewright.llm.kernel import pieces
 from tilewright.llm.store import bound_batches, deal, new_path, written
@@ -204,7 +205,9 @@ def write(rows: DataFrame, path: str, vocabulary: int) -> None:
             yield block()
 
     n = deal(spark, 4 * int(counts.sum()), 64 << 20)
-    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    # an id (or none) that very many rows have is dealt out by what they hold
+    order = ["doc_id", F.xxhash64("ids")]
+    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     ordered.mapInArrow(blocks, f"part bigint, block bigint, first_token bigint, doc_ids array<{kind}>, n_tokens array<bigint>, n bigint, bits binary, checkpoints array<bigint>").write.option("compression", "uncompressed").parquet(path)
 
 
@@ -218,8 +221,8 @@ def _task() -> int:
 def read(spark, path: str) -> DataFrame:
     """Documents from the files: doc_id, start, n_tokens, ids_crc32 and ids (little-endian unsigned 32-bit).
 
-    A block is decoded without any other. Starts follow from its place and the parts'
-    totals, of which there are as many as files.
+    A block is decoded without any other. Starts follow from its place and the totals of the
+    files before, a row for each file, which are joined.
     """
     book = spark.read.parquet(f"{path}-book").collect()  # the vocabulary bounds it
     size = max([1, *(r["id"] + 1 for r in book)])
@@ -228,11 +231,8 @@ def read(spark, path: str) -> DataFrame:
         lengths[r["id"]] = r["length"]
     shared = spark.sparkContext.broadcast(lengths)
     stored = spark.read.parquet(path)
-    totals = stored.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()  # a row for each file
-    base, at = {}, 0
-    for r in totals:
-        base[r["part"]], at = at, at + r["n"]
-    starts = spark.sparkContext.broadcast(base)
+    totals = stored.groupBy("part").agg(F.sum("n").alias("n"))
+    starts = written(totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before")), "file-starts")
     kind = stored.schema["doc_ids"].dataType.elementType.simpleString()
 
     def docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,16 +240,16 @@ def read(spark, path: str) -> DataFrame:
         for batch in batches:
             id_type = batch.schema.field("doc_ids").type.value_type
             for i in range(batch.num_rows):
-                r = {k: batch.column(k)[i] for k in ("part", "first_token", "doc_ids", "n_tokens", "n", "bits", "checkpoints")}
+                r = {k: batch.column(k)[i] for k in columns}
                 raw = unpack(r["bits"].as_py(), np.asarray(r["checkpoints"].values), r["n"].as_py(), table).astype("<u4").tobytes()
                 sizes = np.asarray(r["n_tokens"].values, np.int64)
                 ends = np.cumsum(sizes)
                 ids = [raw[4 * a : 4 * b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
-                start = starts.value[r["part"].as_py()] + r["first_token"].as_py() + ends - sizes
+                start = r["before"].as_py() + r["first_token"].as_py() + ends - sizes
                 yield pa.RecordBatch.from_arrays([r["doc_ids"].values.cast(id_type), pa.array(start, pa.int64()), pa.array(sizes, pa.int64()), pa.array([crc32(x) for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
-    columns = ("part", "first_token", "doc_ids", "n_tokens", "n", "bits", "checkpoints")
-    return stored.select(*columns).mapInArrow(docs, f"doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
+    columns = ("before", "first_token", "doc_ids", "n_tokens", "n", "bits", "checkpoints")
+    return stored.join(starts, "part").select(*columns).mapInArrow(docs, f"doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
 
 
 def round_trip(docs: DataFrame, definition: bytes, end_id: int, path: str | None = None) -> DataFrame:

@@ -129,7 +129,8 @@ def _chunks(docs: DataFrame, chunk: int, overlap: int) -> DataFrame:
 
 
 def count_tokens(docs: DataFrame, definition: bytes, keep: tuple[str, ...] = ("doc_id",), limit: int = 2048, chunk: int = CHUNK, overlap: int = OVERLAP, text: str = "text") -> DataFrame:
-    """``keep`` and n_bytes (UTF-8), n_tokens, over_limit (more than ``limit`` tokens), a row for each row of ``docs``."""
+    """``keep`` and n_bytes (UTF-8), n_tokens, over_limit (more than ``limit`` tokens), a row for each row of ``docs``. A kept column of one of these names gives way."""
+    keep = tuple(k for k in keep if k not in ("n_bytes", "n_tokens", "over_limit"))
     if not 0 < overlap < chunk // 2:
         raise ValueError("the overlap must be under half a chunk")
     spark = docs.sparkSession
