@@ -134,8 +134,10 @@ def encode_rows(docs: DataFrame, definition: bytes, end_id: int, keep: str = "do
         kind = "<u2" if len(e.ends) <= 1 << 16 else "<u4"
         tail = np.asarray([end_id], kind).tobytes()
         for batch in pieces(batches):
-            ids = [np.frombuffer(x, "<u4").astype(kind).tobytes() + tail for x in e.encode(pc.fill_null(batch.column("text"), "").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array([int(kind[2])] * len(ids), pa.int32())], names=["doc_id", "ids", "width"])
+            ids, n = e.flat(batch.column("text"))
+            raw, ends = ids.astype(kind).tobytes(), (np.cumsum(n) * int(kind[2])).tolist()
+            out = [raw[a:b] + tail for a, b in zip([0, *ends], ends, strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary()), pa.array([int(kind[2])] * len(out), pa.int32())], names=["doc_id", "ids", "width"])
 
     kind = docs.schema[keep].dataType.simpleString()
     return docs.select(docs[keep].alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, ids binary, width int")

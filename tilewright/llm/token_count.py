@@ -145,8 +145,8 @@ def count_tokens(docs: DataFrame, definition: bytes, keep: tuple[str, ...] = ("d
         e = encoder(shared.value)
         for batch in pieces(batches):
             texts = pc.fill_null(batch.column("text"), "")
-            ids = e.encode(texts.to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in names] + [pc.binary_length(texts).cast(pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64())], names=[*names, "n_bytes", "n_tokens"])
+            _, n_tokens = e.flat(texts)
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in names] + [pc.binary_length(texts).cast(pa.int64()), pa.array(n_tokens, pa.int64())], names=[*names, "n_bytes", "n_tokens"])
 
     huge = F.char_length("text") > chunk
     small = body.where(~F.coalesce(huge, F.lit(False))).mapInArrow(whole, f"{types}, n_bytes bigint, n_tokens bigint")
