@@ -145,9 +145,14 @@ def test_rings_and_lines():
     assert sum(map(geometry.line_length, geometry.dashes([(0, 0), (10, 0), (10, 10)], 3, 2))) == pytest.approx(12)
     assert [(len(p), at) for p, at in geometry.split_at([(0, 0), (3, 0), (5, 0)], {(3, 0)})] == [(2, 0.0), (2, 3.0)]
     joined = geometry.stitched([("a", [(0, 0), (1, 0)]), ("b", [(1, 0), (2, 2)]), ("a", [(2, 0), (1, 0)]), ("a", [(2, 0), (3, 0)])])
-    assert joined == [("a", [(0, 0), (1, 0), (2, 0), (3, 0)]), ("b", [(1, 0), (2, 2)])]
+    assert joined == [("a", [(0, 0), (1, 0)]), ("b", [(1, 0), (2, 2)]), ("a", [(1, 0), (2, 0), (3, 0)])]  # not across the T with b
+    assert geometry.stitched([("a", [(0, 0), (1, 0)]), (None, [(1, 0), (2, 2)]), ("a", [(2, 0), (1, 0)])], [True, False, True])[0] == ("a", [(0, 0), (1, 0), (2, 0)])
+    assert len(geometry.stitched([("a", [(0, 0), (1, 0)]), (None, [(1, 0), (2, 2)]), ("a", [(2, 0), (1, 0)])], [True, True, True])) == 3
+    small = [(1, 1), (2, 1), (2, 2)]
+    assert geometry.outermost([square, small], [(0, 5), (0, 9)]) == [0, 1] and geometry.outermost([square, small], [(0, 5), (1, 5)]) == [0]
     assert geometry.hull([(0, 0), (2, 0), (1, 1), (2, 2), (0, 2)]) == [(0, 0), (2, 0), (2, 2), (0, 2)]
-    assert geometry.anchors([(0, 0), (1700, 0)], 100) == [425.0, 1275.0] and geometry.anchors([(0, 0), (50, 0)], 100) == []
+    assert geometry.anchors([(0, 0), (1700, 0)], 100) == [400.0, 1200.0] and geometry.anchors([(0, 0), (50, 0)], 100) == [25.0]
+    assert geometry.anchors([(0, 0), (1700, 0)], 1000) == [500.0] and len(geometry.anchors([(0, 0), (9000, 0)], 1)) == 7 and geometry.anchors([(0, 0), (50, 0)], 0) == []
 
 
 def test_hashes(spark):
@@ -189,7 +194,7 @@ def test_shape_tables(spark):
     pts = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
     line = "array<struct<x:double,y:double>>"
     rows = spark.createDataFrame([(1, "a", 0, pts((0, 0), (1, 0))), (1, "a", 1, pts((1, 0), (2, 0))), (1, "b", 2, pts((1, 0), (1, 5))), (2, "a", 0, pts((0, 0), (300, 0)))], f"tile int, street string, seq int, pts {line}")
-    assert sorted((r.tile, r.street, len(r.pts)) for r in shapes.stitched(rows, "tile").collect()) == [(1, "a", 3), (1, "b", 2), (2, "a", 2)]
+    assert sorted((r.tile, r.street, len(r.pts)) for r in shapes.stitched(rows, "tile").collect()) == [(1, "a", 2), (1, "a", 2), (1, "b", 2), (2, "a", 2)]
     assert shapes.split_at_junctions(rows, "tile").count() == 4
     assert sorted((r.tile, r.seq) for r in shapes.merged_labels(rows, "tile").collect()) == [(1, 0), (2, 0)] or shapes.merged_labels(rows, "tile").count() >= 2
     rings = spark.createDataFrame([(1, 0, pts((0, 0), (9, 0), (9, 9), (0, 9))), (1, 1, pts((1, 1), (2, 1), (2, 2)))], f"building int, seq int, pts {line}")

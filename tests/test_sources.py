@@ -134,7 +134,19 @@ def test_discovery_and_traces(spark):
     got = [r.t for r in spark.createDataFrame(docs, "d string").select(store.discovered(F.col("d"), F.lit("fallback")).alias("t")).collect()]
     assert got == ["https://t/{z}", "fallback", "fallback", "fallback"]
     assert store.trace_lines(spark.createDataFrame([("load", 3, None)], "name string, frame int, error string")).first().value == '{"frame":3,"name":"load"}'
-    assert store.ocean_labels(spark).count() == 5 and store.background(2, 1, 1, spark).count() == 65 * 65
+    assert store.background(2, 1, 1, spark).count() == 65 * 65
+
+
+def test_water_labels(spark):
+    every = spark.createDataFrame([(z, x, y) for z in range(5) for x in range(1 << z) for y in range(1 << z)], "z int, x bigint, y bigint")
+    got = store.water_labels(every, F.lit("ru")).collect()
+    assert [sum(r.z == z for r in got) for z in range(5)] == [5, 5, 9, 0, 0]
+    sea = {(r.z, r.name): r for r in got}
+    assert (sea[0, "Тихий океан"].px, sea[0, "Тихий океан"].py, sea[0, "Тихий океан"].sort_key) == (341, 2048, 20)
+    assert (sea[2, "Чёрное море"] if (2, "Чёрное море") in sea else sea[2, "Средиземное море"]).kind == "sea"
+    one = spark.createDataFrame([(0, 0, 0)], "z int, x bigint, y bigint")
+    taken = spark.createDataFrame([(0, 0, 0, "Atlas Okyanusu"), (0, 0, 0, "Nordsee")], "z int, x bigint, y bigint, text string")
+    assert sorted(r.name for r in store.water_labels(one, F.lit("xx"), taken).collect()) == ["Arctic Ocean", "Indian Ocean", "Pacific Ocean", "Southern Ocean"]
 
 
 def streamed(spark, frames, schema, tmp_path, make):

@@ -58,12 +58,24 @@ def stated_width(decimetres: Column) -> Column:
     return F.when(decimetres.between(20, 600), decimetres / 10.0)
 
 
-def lanes(count: Column) -> Column:
-    return F.when(count >= 1, F.least(count, F.lit(12)))
+#: Lanes that a class of road has if none are stated, and the width of one; other classes have a width of their own.
+DEFAULT_LANES = {"motorway": 4, "trunk": 3, "primary": 3, "secondary": 2, "tertiary": 2, "minor": 2}
+LANE_METRES = {"motorway": 4.0, "trunk": 4.0, "primary": 4.0, "secondary": 4.5, "tertiary": 4.5, "minor": 5.0, "service": 4.0}
+WALK_METRES = 2.0
 
 
-def road_width(decimetres: Column, lane_count: Column, lane_width: float, default: float) -> Column:
-    return F.coalesce(stated_width(decimetres), lanes(lane_count) * lane_width, F.lit(default))
+def _by_class(values: dict, road_class: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), road_class)
+
+
+def lanes(road_class: Column, count: Column) -> Column:
+    """Stated lanes, else those usual for the class, 1 to 12."""
+    return F.greatest(F.least(F.coalesce(count, _by_class(DEFAULT_LANES, road_class), F.lit(1)), F.lit(12)), F.lit(1))
+
+
+def road_width(road_class: Column, decimetres: Column, lane_count: Column) -> Column:
+    """Metres: as stated, else lanes of the class's width, else that of a walk."""
+    return F.coalesce(stated_width(decimetres), lanes(road_class, lane_count) * _by_class(LANE_METRES, road_class), F.lit(WALK_METRES))
 
 
 def demanded(distance: Column, zoom: Column, flat: bool) -> Column:

@@ -35,11 +35,11 @@ def without_construction(road_class: Column) -> Column:
 
 
 def name_keys(lang: Column, local_first: bool = False) -> Column:
-    """Property keys by preference: the language's, its base's, then English and local ones."""
+    """Property keys by preference: the language's, its base's, then English and the local name, or these two the other way round."""
     full, base = language(lang), base_language(lang)
     own = [F.concat(F.lit(p), c) for c in (full, base) for p in ("name_", "name:")]
     rest = [F.lit("name_en"), F.lit("name:en")]
-    keys = [F.lit("name"), *own, *rest] if local_first else [*own, *rest, F.lit("name")]
+    keys = [*own, F.lit("name"), *rest] if local_first else [*own, *rest, F.lit("name")]
     return F.array_distinct(F.array(*keys))
 
 

@@ -6,16 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def length(points: str) -> Column:
+def length(points: str | Column) -> Column:
     """Length of an array of points (x, y)."""
-    p = F.col(points)
+    p = F.col(points) if isinstance(points, str) else points
     step = lambda i: F.sqrt(F.pow(F.get(p, i + 1)["x"] - F.get(p, i)["x"], 2) + F.pow(F.get(p, i + 1)["y"] - F.get(p, i)["y"], 2))
     return F.when(F.size(p) < 2, 0.0).otherwise(F.aggregate(F.transform(F.sequence(F.lit(0), F.size(p) - 2), step), F.lit(0.0), lambda a, x: a + x))
 
 
-def signed_area(points: str) -> Column:
+def signed_area(points: str | Column) -> Column:
     """Half the shoelace sum of a ring that closes by itself."""
-    p = F.col(points)
+    p = F.col(points) if isinstance(points, str) else points
     after = lambda i: F.get(p, (i + 1) % F.size(p))
     cross = lambda q, i: q["x"] * after(i)["y"] - after(i)["x"] * q["y"]
     return F.when(F.size(p) < 3, 0.0).otherwise(F.aggregate(F.transform(p, cross), F.lit(0.0), lambda a, x: a + x) / 2)
@@ -205,13 +205,18 @@ def split_at(line: list[Point], junctions: set[Point]) -> list[tuple[list[Point]
     return out
 
 
-def stitched(lines: list[tuple[str, list[Point]]]) -> list[tuple[str, list[Point]]]:
-    """Lines (street, points) joined end to end: at a point where exactly two ends of one street meet, and no others of it."""
+def stitched(lines: list[tuple[str | None, list[Point]]], drives: list[bool] | None = None) -> list[tuple[str | None, list[Point]]]:
+    """Lines (street, points) joined end to end: at a point where two ends of one street meet and no other road for
+    cars ends, of whatever street or none. Lines without a street stay as they are; ``drives`` tells roads for cars."""
     ends: dict = {}
+    roads: dict = {}
     for i, (street, line) in enumerate(lines):
         for end in (0, -1):
-            ends.setdefault((street, line[end]), []).append((i, end))
-    joins = {k: v for k, v in ends.items() if len(v) == 2 and v[0][0] != v[1][0]}
+            if street is not None:
+                ends.setdefault((street, line[end]), []).append((i, end))
+            if drives is None or drives[i]:
+                roads.setdefault(line[end], set()).add(i)
+    joins = {k: v for k, v in ends.items() if len(v) == 2 and v[0][0] != v[1][0] and len(roads.get(k[1], ())) == 2}
     used, out = set(), []
     for i, (street, line) in enumerate(lines):
         if i in used:
@@ -233,13 +238,16 @@ def stitched(lines: list[tuple[str, list[Point]]]) -> list[tuple[str, list[Point
 
 
 def anchors(line: list[Point], width: float, spacing: float = 800.0, most: int = 7) -> list[float]:
-    """Where along a line labels of a width are set: evenly, as many as fit, ``most`` at most."""
+    """Where along a line labels of a width are set: in the middle of a line up to the spacing, however short; else
+    from half the spacing (or half the label) on, every spacing, as many as fit and ``most`` at most."""
     total = line_length(line)
-    if total < width:
+    if total <= 0 or width <= 0:
         return []
-    n = int(min(most, max(1, total // spacing)))
-    step = total / n
-    return [step * (k + 0.5) for k in range(n)]
+    half = min(width, total) / 2
+    if total <= spacing:
+        return [total / 2]
+    first = max(spacing / 2, half)
+    return [first + k * spacing for k in range(most) if first + k * spacing <= total - half]
 
 
 def hull(points: list[Point]) -> list[Point]:
@@ -259,14 +267,19 @@ def hull(points: list[Point]) -> list[Point]:
     return half(ps) + half(ps[::-1])
 
 
-def outermost(rings: list[Ring]) -> list[int]:
-    """Places of the rings that no larger kept one holds: by area, largest first."""
+def outermost(rings: list[Ring], heights: list[tuple[float, float]] | None = None) -> list[int]:
+    """Places of the rings that no larger kept one holds, as deep and as high: by area, largest first."""
     order = sorted(range(len(rings)), key=lambda i: (-abs(area(rings[i])), i))
     box = [(min(p[0] for p in r), min(p[1] for p in r), max(p[0] for p in r), max(p[1] for p in r)) for r in rings]
     kept: list[int] = []
+
+    def holds(k: int, i: int) -> bool:
+        a, b = box[i], box[k]
+        tall = heights is None or (heights[k][0] <= heights[i][0] and heights[k][1] >= heights[i][1])
+        return tall and b[0] <= a[0] and b[1] <= a[1] and b[2] >= a[2] and b[3] >= a[3] and all(inside(rings[k], p) for p in rings[i])
+
     for i in order:
-        a = box[i]
-        if not any(b[0] <= a[0] and b[1] <= a[1] and b[2] >= a[2] and b[3] >= a[3] and all(inside(rings[k], p) for p in rings[i]) for k in kept for b in (box[k],)):
+        if not any(holds(k, i) for k in kept):
             kept.append(i)
     return sorted(kept)
 

@@ -79,12 +79,15 @@ def hulls(rows: DataFrame, points: str, name: str = "hull") -> DataFrame:
 
 
 def stitched(rows: DataFrame, *tile: str) -> DataFrame:
-    """Streets (tile, street, seq, pts) of each tile joined end to end, in the order of ``seq``."""
+    """Streets (tile, street, seq, pts) of each tile joined end to end, in the order of ``seq``; a street may be null. A
+    boolean column ``drives`` tells which roads count at a junction; without it all do."""
+    driven = "drives" in rows.columns
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
-        got = g.stitched([(s, _in(p)) for s, p in zip(pdf.street, pdf.pts, strict=True)])
+        names = [None if s is None or s != s else s for s in pdf.street]
+        got = g.stitched([(s, _in(p)) for s, p in zip(names, pdf.pts, strict=True)], list(pdf.drives) if driven else None)
         return pd.DataFrame([(*key, s, _out(p)) for s, p in got], columns=[*tile, "street", "pts"])
 
     return rows.groupBy(*tile).applyInPandas(run, ", ".join(f"`{t}` {kinds[t]}" for t in tile) + f", street {kinds['street']}, pts {LINE}")
@@ -107,11 +110,12 @@ def split_at_junctions(rows: DataFrame, *tile: str) -> DataFrame:
 
 
 def outermost(rows: DataFrame, *building: str) -> DataFrame:
-    """Rings (building, seq, pts) that no larger ring of their building holds."""
+    """Rings (building, seq, pts) that no larger ring of their building holds; with columns ``base`` and ``top`` only one that reaches as deep and as high."""
+    high = {"base", "top"} <= set(rows.columns)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq").reset_index(drop=True)
-        return pdf.iloc[g.outermost([_in(p) for p in pdf.pts])]
+        return pdf.iloc[g.outermost([_in(p) for p in pdf.pts], list(zip(pdf.base, pdf.top, strict=True)) if high else None)]
 
     return rows.groupBy(*building).applyInPandas(run, rows.schema)
 

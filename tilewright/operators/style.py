@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 #: The zoom from which a road class shows.
 ROAD_ZOOMS = {"motorway": 5, "trunk": 5, "primary": 7, "ferry": 8, "secondary": 9, "tertiary": 10, "rail": 10, "transit": 10, "service": 13, "path": 14, "track": 14}
 OTHER_ROAD_ZOOM = 12
-PARK_WORDS = ["park", "garden", "парк", "сад", "сквер"]
+#: Words that make a park layer's feature green.
+PARK_WORDS = ["park", "парк", "garden", "сад", "reserve", "заповедник", "nature"]
+#: Land cover that shows, and the kinds of grass that still do where generic grass doesn't.
+COVERS = ["wood", "forest", "grass", "farmland", "wetland", "ice", "sand"]
+GRASSES = ["park", "garden", "recreation_ground", "golf_course", "cemetery", "meadow", "grassland", "nature_reserve", "dog_park", "pitch", "playground"]
 LEVEL_METRES = 3.2
 
 
 def road_rules(spark: SparkSession) -> DataFrame:
     """(class, min_zoom): a fixed table, small enough that Spark broadcasts it by itself."""
-    return spark.createDataFrame(list(ROAD_ZOOMS.items()), "class string, min_zoom int")
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{k}', {z})" for k, z in ROAD_ZOOMS.items()) + " AS rules(class, min_zoom)")
 
 
 def visible_roads(features: DataFrame, rules: DataFrame) -> DataFrame:
@@ -22,8 +26,10 @@ def visible_roads(features: DataFrame, rules: DataFrame) -> DataFrame:
     return features.join(rules, "class", "left").withColumn("min_zoom", F.coalesce("min_zoom", F.lit(OTHER_ROAD_ZOOM))).where("zoom >= min_zoom")
 
 
-def land_shows(layer: Column, kind: Column, zoom: Column) -> Column:
-    cover = (zoom >= 10) & ~((kind == "grass") & (zoom >= 13))
+def land_shows(layer: Column, kind: Column, subclass: Column, zoom: Column) -> Column:
+    """Land cover from zoom 10, of known classes only (rock is the ground itself); from zoom 13 no grass but of a subclass that is a real green."""
+    real = ~(kind == "grass") | (zoom < 13) | F.coalesce(subclass.isin(GRASSES), F.lit(False))
+    cover = (zoom >= 10) & F.coalesce(kind.isin(COVERS) & real, F.lit(False))
     return F.when(layer == "landcover", cover).when(layer == "landuse", zoom >= 6).otherwise(True)
 
 
@@ -33,7 +39,8 @@ def boundary_shows(admin_level: Column, zoom: Column) -> Column:
 
 
 def is_park(kind: Column, subclass: Column) -> Column:
-    return F.lower(F.concat_ws(" ", kind, subclass)).rlike("|".join(PARK_WORDS))
+    """Whether class or subclass holds one of the words, as they are written."""
+    return F.concat_ws(" ", kind, subclass).rlike("|".join(PARK_WORDS))
 
 
 def structure(underground: Column, tunnel: Column, bridge: Column, location: Column, build: Column, brunnel: Column, layer: Column) -> Column:
@@ -45,10 +52,19 @@ def structure(underground: Column, tunnel: Column, bridge: Column, location: Col
     return F.when(below, "tunnel").when(above, "bridge").otherwise("ground")
 
 
-def extrusion(height: Column, levels: Column, base: Column, base_levels: Column) -> Column:
-    """(base, top) in metres: heights, else storeys; a top is never below its base."""
-    low = F.greatest(F.coalesce(base, base_levels * LEVEL_METRES, F.lit(0.0)), F.lit(0.0))
-    return F.struct(low.alias("base"), F.greatest(F.coalesce(height, levels * LEVEL_METRES, F.lit(LEVEL_METRES)), low).alias("top"))
+def extrusion(height: Column, levels: Column, base: Column, base_levels: Column, fallback: Column | float = 0.0, scale: Column | float = 1.0) -> Column:
+    """(base, top): heights in metres, else storeys, else ``fallback``, times ``scale``; the base is between 0 and the
+    height. Null where nothing states a height and there is no fallback, or where the height isn't above 0."""
+    fallback, scale = (x if isinstance(x, Column) else F.lit(x) for x in (fallback, scale))
+    top = F.coalesce(height, levels * LEVEL_METRES, fallback)
+    low = F.coalesce(base, base_levels * LEVEL_METRES, F.lit(0.0))
+    made = F.struct(F.greatest(F.least(low * scale, top * scale), F.lit(0.0)).alias("base"), (top * scale).alias("top"))
+    return F.when(top > 0, made)
+
+
+def zoom_scale(tile_zoom: Column, anchor_zoom: Column | int) -> Column:
+    """What a height in a tile is multiplied by, relative to the zoom that heights are given for."""
+    return F.pow(F.lit(2.0), tile_zoom - anchor_zoom)
 
 
 def passes(features: DataFrame) -> DataFrame:

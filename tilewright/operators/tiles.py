@@ -75,10 +75,10 @@ def nearest_ancestor(targets: DataFrame, sources: DataFrame, depth: int = DEEPES
     return targets.join(best, ["z", "x", "y"], "left").select("z", "x", "y", "s.sz", "s.sx", "s.sy")
 
 
-def covered_share(targets: DataFrame, ready: DataFrame, depth: int = 4) -> DataFrame:
-    """(z, x, y, share): how much of each target its ready descendants cover; nested ones count once."""
+def covered_share(targets: DataFrame, ready: DataFrame, depth: int = DEEPEST) -> DataFrame:
+    """(z, x, y, share): how much of each target its ready descendants cover, at every depth unless one is given; nested ones count once."""
     r = ready.select(F.col("z").cast("int").alias("rz"), F.col("x").alias("rx"), F.col("y").alias("ry")).distinct()
-    up = r.select("rz", "rx", "ry", F.explode(F.sequence(F.lit(1), F.lit(depth))).alias("d")).where("rz - d >= 0").select("rz", "rx", "ry", "d", (F.col("rz") - F.col("d")).alias("z"), F.expr("shiftright(rx, d)").alias("x"), F.expr("shiftright(ry, d)").alias("y"))
+    up = r.select("rz", "rx", "ry", F.explode(F.when(F.col("rz") > 0, F.sequence(F.lit(1), F.least(F.lit(depth), F.col("rz"))))).alias("d")).select("rz", "rx", "ry", "d", (F.col("rz") - F.col("d")).alias("z"), F.expr("shiftright(rx, d)").alias("x"), F.expr("shiftright(ry, d)").alias("y"))
     below = targets.withColumn("z", F.col("z").cast("int")).join(up, ["z", "x", "y"])
     # a ready tile below another ready one of the same target is nested
     inner = below.alias("a").select("z", "x", "y", "rz", "rx", "ry", "d", F.explode(F.sequence(F.lit(0), F.col("d") - 1)).alias("k"))
@@ -90,12 +90,12 @@ def covered_share(targets: DataFrame, ready: DataFrame, depth: int = 4) -> DataF
 
 
 def gaps(targets: DataFrame, ready: DataFrame, depth: int) -> DataFrame:
-    """The coarsest tiles below each target that no ready tile covers or lies in, down to ``depth`` levels."""
+    """The coarsest tiles below each target that no ready tile covers or lies in, however deep it lies, down to ``depth`` levels."""
     r = ready.select(F.col("z").cast("int").alias("z"), "x", "y").distinct()
     open_ = targets.select(F.col("z").cast("int").alias("z"), "x", "y").join(r, ["z", "x", "y"], "left_anti")
     out = None
     for level in range(depth + 1):
-        marks = with_ancestors(r, depth + 1).distinct()
+        marks = with_ancestors(r, DEEPEST).distinct()
         free = open_.join(marks, ["z", "x", "y"], "left_anti")
         out = free if out is None else out.unionByName(free)
         if level < depth:

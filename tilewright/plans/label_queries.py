@@ -54,12 +54,14 @@ def text_keys(spark: SparkSession, sf: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("id"), text.kind(F.col("p_type"), F.col("p_brand"), F.lit(" ")).alias("kind"), text.without_construction(F.col("p_type")).alias("road"), text.language(code).alias("lang"), text.base_language(code).alias("base"), text.namespace(code).alias("ns"))
 
 
-@query("""SELECT doc_id AS id, CASE WHEN lang = 'fr' AND doc_id % 2 = 0 THEN 'nom ' || doc_id WHEN lang = 'de' AND doc_id % 3 = 0 THEN 'Name ' || doc_id WHEN doc_id % 5 <> 0 THEN 'English ' || doc_id ELSE 'local ' || doc_id END AS label FROM documents""")
+@query("""WITH d AS (SELECT doc_id AS id, CASE WHEN lang = 'fr' AND doc_id % 2 = 0 THEN 'nom ' || doc_id WHEN lang = 'de' AND doc_id % 3 = 0 THEN 'Name ' || doc_id WHEN lang = 'en' AND doc_id % 5 <> 0 THEN 'English ' || doc_id END AS own, CASE WHEN doc_id % 5 <> 0 THEN 'English ' || doc_id END AS english, CASE WHEN doc_id % 7 <> 0 THEN 'local ' || doc_id END AS local FROM documents)
+SELECT id, coalesce(own, english, local) AS label, coalesce(own, local, english) AS local_first FROM d""")
 def localized_names(spark: SparkSession, sf: str) -> DataFrame:
-    """Names by language preference; one with letters that can't be shown is passed over."""
+    """Names by language preference, then English and the local one, or the local one and English; one with letters that can't be shown is passed over."""
     d = table(spark, sf, "documents")
-    names = F.map_from_arrays(F.array(F.lit("name_fr"), F.lit("name:de"), F.lit("name_en"), F.lit("name")), F.array(E("CASE WHEN doc_id % 2 = 0 THEN concat('nom ', doc_id) ELSE '名前' END"), E("CASE WHEN doc_id % 3 = 0 THEN concat('Name ', doc_id) ELSE '' END"), E("CASE WHEN doc_id % 5 <> 0 THEN concat('English ', doc_id) END"), E("concat('local ', doc_id)")))
-    return d.select(F.col("doc_id").alias("id"), text.localized(names, F.col("lang"), "A-Za-z0-9").alias("label"))
+    local = E("CASE WHEN doc_id % 7 <> 0 THEN concat('local ', doc_id) ELSE 'Москва' END")
+    names = F.map_from_arrays(F.array(F.lit("name_fr"), F.lit("name:de"), F.lit("name_en"), F.lit("name")), F.array(E("CASE WHEN doc_id % 2 = 0 THEN concat('nom ', doc_id) ELSE '名前' END"), E("CASE WHEN doc_id % 3 = 0 THEN concat('Name ', doc_id) ELSE '' END"), E("CASE WHEN doc_id % 5 <> 0 THEN concat('English ', doc_id) END"), local))
+    return d.select(F.col("doc_id").alias("id"), text.localized(names, F.col("lang"), "A-Za-z0-9").alias("label"), text.localized(names, F.col("lang"), "A-Za-z0-9", local_first=True).alias("local_first"))
 
 
 @query("""SELECT page_id AS id, url || '?x=1&token=REDACTED&y=2' AS redacted, 'https://t.example/' || page_id % 7 || '/' || page_id || '/3.mvt' AS filled, 'cache/' || page_id % 7 || '/' || page_id || '/3.mvt' AS path, CAST(page_id % 7 AS INTEGER) AS z, CAST(page_id AS INTEGER) AS x, 'HTTP 404: gone ' || page_id AS message FROM pages""")
@@ -87,17 +89,35 @@ def road_visibility(spark: SparkSession, sf: str) -> DataFrame:
     return style.visible_roads(roads(spark, sf), style.road_rules(spark)).groupBy("class", "min_zoom", "zoom").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT p_partkey AS id, CASE WHEN k % 4 = 0 THEN (z >= 10 AND NOT (k % 3 = 0 AND z >= 13)) WHEN k % 4 = 1 THEN z >= 6 ELSE true END AS land, (lv <= 4 AND (lv <= 2 OR z >= 4)) AS boundary, (k % 6 = 0 OR k % 6 = 3) AS park,
-  CASE WHEN k % 5 = 0 OR lay < 0 OR k % 11 = 0 THEN 'tunnel' WHEN k % 7 = 0 OR lay > 0 THEN 'bridge' ELSE 'ground' END AS structure, round(CASE WHEN k % 3 = 0 THEN (k % 4) * 3.2 ELSE 0 END::DOUBLE, 6) AS base, round(greatest(CASE WHEN k % 2 = 0 THEN CAST(p_size AS DOUBLE) ELSE (p_size % 9) * 3.2 END, CASE WHEN k % 3 = 0 THEN (k % 4) * 3.2 ELSE 0 END), 6) AS top
-FROM (SELECT p_partkey, p_size, p_partkey AS k, p_size % 16 AS z, CASE WHEN p_partkey % 9 = 0 THEN 4 ELSE p_partkey % 9 END AS lv, p_partkey % 3 - 1 AS lay FROM part)""")
+_COVER = "['wood', 'forest', 'grass', 'farmland', 'wetland', 'ice', 'sand', 'rock', 'moor']"
+_GREEN = "['park', 'garden', 'recreation_ground', 'golf_course', 'cemetery', 'meadow', 'grassland', 'nature_reserve', 'dog_park', 'pitch', 'playground', 'verge']"
+_PARKS = "['national_park', 'природно-исторический_парк', 'National_Park', 'botanical garden', 'сад', 'Сад', 'reserve', 'заповедник', 'nature_monument', 'protected_area', 'сквер']"
+
+
+@query(f"""SELECT p_partkey AS id, CASE WHEN k % 2 = 0 THEN z >= 10 AND CASE WHEN cover IN ('rock', 'moor') THEN false WHEN cover = 'grass' THEN z < 13 OR coalesce(sub, 'verge') <> 'verge' ELSE true END WHEN k % 4 = 1 THEN z >= 6 ELSE true END AS land, (lv <= 4 AND (lv <= 2 OR z >= 4)) AS boundary,
+  kind IN ('national_park', 'природно-исторический_парк', 'botanical garden', 'сад', 'reserve', 'заповедник', 'nature_monument') AS park,
+  CASE WHEN k % 5 = 0 OR lay < 0 OR k % 11 = 0 THEN 'tunnel' WHEN k % 7 = 0 OR lay > 0 THEN 'bridge' ELSE 'ground' END AS structure
+FROM (SELECT *, {_COVER}[k % 9 + 1] AS cover, CASE WHEN k % 13 > 0 THEN {_GREEN}[k % 12 + 1] END AS sub, {_PARKS}[k % 11 + 1] AS kind FROM (SELECT p_partkey, p_size, p_partkey AS k, p_size % 16 AS z, CASE WHEN p_partkey % 9 = 0 THEN 4 ELSE p_partkey % 9 END AS lv, p_partkey % 3 - 1 AS lay FROM part))""")
 def feature_gates(spark: SparkSession, sf: str) -> DataFrame:
-    """Which features show, whether a road is a tunnel or a bridge, and how high a building stands."""
+    """Which features show, and whether a road is a tunnel or a bridge. Words of parks count as they are written; rock, unknown cover and generic grass in cities don't show."""
     p = table(spark, sf, "part").withColumns({"k": F.col("p_partkey"), "z": E("p_size % 16")})
-    land = style.land_shows(E("CASE WHEN k % 4 = 0 THEN 'landcover' WHEN k % 4 = 1 THEN 'landuse' ELSE 'water' END"), E("CASE WHEN k % 3 = 0 THEN 'grass' ELSE 'wood' END"), F.col("z"))
-    park = style.is_park(E("CASE WHEN k % 6 = 0 THEN 'National_Park' ELSE 'wood' END"), E("CASE WHEN k % 6 = 3 THEN 'Сад' END"))
+    pick = lambda values, i: E(f"element_at(array{values.replace('[', '(').replace(']', ')')}, CAST({i} AS INT))")
+    land = style.land_shows(E("CASE WHEN k % 2 = 0 THEN 'landcover' WHEN k % 4 = 1 THEN 'landuse' ELSE 'water' END"), pick(_COVER, "k % 9 + 1"), F.when(E("k % 13 > 0"), pick(_GREEN, "k % 12 + 1")), F.col("z"))
+    named = pick(_PARKS, "k % 11 + 1")
+    park = style.is_park(F.when(E("k % 3 > 0"), named), F.when(E("k % 3 = 0"), named))
     kind = style.structure(F.lit(None).cast("boolean"), E("k % 5 = 0"), E("k % 7 = 0"), E("CASE WHEN k % 11 = 0 THEN 'Underground hall' END"), F.lit(None).cast("string"), F.lit(None).cast("string"), E("k % 3 - 1"))
-    high = style.extrusion(E("CASE WHEN k % 2 = 0 THEN CAST(p_size AS DOUBLE) END"), E("CAST(p_size % 9 AS DOUBLE)"), F.lit(None).cast("double"), E("CASE WHEN k % 3 = 0 THEN CAST(k % 4 AS DOUBLE) END"))
-    return p.select(F.col("k").alias("id"), land.alias("land"), style.boundary_shows(E("nullif(k % 9, 0)"), F.col("z")).alias("boundary"), park.alias("park"), kind.alias("structure"), F.round(high["base"], 6).alias("base"), F.round(high["top"], 6).alias("top"))
+    return p.select(F.col("k").alias("id"), land.alias("land"), style.boundary_shows(E("nullif(k % 9, 0)"), F.col("z")).alias("boundary"), park.alias("park"), kind.alias("structure"))
+
+
+@query("""WITH b AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS DOUBLE) - 3 END AS h, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size % 9 AS DOUBLE) END AS l, CASE WHEN p_partkey % 5 = 0 THEN CAST(p_size % 12 AS DOUBLE) - 1 END AS m, CASE WHEN p_partkey % 7 = 0 THEN CAST(p_size % 4 AS DOUBLE) END AS ml, CASE WHEN p_partkey % 11 = 0 THEN 6.0 ELSE 0.0 END::DOUBLE AS f, pow(2, 14 + p_partkey % 3 - 15) AS s FROM part),
+t AS (SELECT *, CASE WHEN h IS NOT NULL THEN h WHEN l IS NOT NULL THEN 3.2 * l ELSE f END AS up, CASE WHEN m IS NOT NULL THEN m WHEN ml IS NOT NULL THEN 3.2 * ml ELSE 0 END AS down FROM b)
+SELECT id, CASE WHEN up > 0 THEN round(CASE WHEN down < 0 THEN 0 WHEN down > up THEN up ELSE down END * s, 6) END AS base, CASE WHEN up > 0 THEN round(up * s, 6) END AS top FROM t""")
+def building_heights(spark: SparkSession, sf: str) -> DataFrame:
+    """Where buildings begin and end above ground: a base over the height is the height, and without a height there is none."""
+    p = table(spark, sf, "part").withColumn("k", F.col("p_partkey"))
+    every = lambda n, e: E(f"CASE WHEN k % {n} = 0 THEN CAST({e} AS DOUBLE) END")
+    high = style.extrusion(every(2, "p_size - 3"), every(3, "p_size % 9"), every(5, "p_size % 12 - 1"), every(7, "p_size % 4"), E("CASE WHEN k % 11 = 0 THEN 6.0D ELSE 0.0D END"), style.zoom_scale(E("14 + k % 3"), 15))
+    return p.select(F.col("k").alias("id"), F.round(high["base"], 6).alias("base"), F.round(high["top"], 6).alias("top"))
 
 
 @query(f"""WITH r AS ({_ROADS}) SELECT class, role, count(*) AS n, round(sum(w), 2) AS width FROM (SELECT class, 'line' AS role, l_linenumber AS w FROM r UNION ALL SELECT class, 'casing', l_linenumber + 2.0::DOUBLE FROM r WHERE l_returnflag <> 'N') GROUP BY ALL""")
@@ -106,12 +126,12 @@ def line_passes(spark: SparkSession, sf: str) -> DataFrame:
     return style.passes(f).groupBy("class", "role").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("pass_width"), 2).alias("width"))
 
 
-@query("""WITH o AS (SELECT p_partkey AS id, p_partkey % 200 AS b, p_size * 100 + p_partkey % 7 AS f FROM part WHERE p_partkey % 2 = 0), p AS (SELECT p_partkey % 150 AS b, p_size * 100 + p_partkey % 5 AS f FROM part WHERE p_partkey % 2 = 1 AND p_size > 30)
+@query("""WITH o AS (SELECT p_partkey AS id, p_partkey % 500 AS b, p_size * 100 + p_partkey % 7 AS f FROM part WHERE p_partkey % 2 = 0), p AS (SELECT p_partkey % 151 AS b, p_size * 100 + p_partkey % 5 AS f FROM part WHERE p_partkey % 2 = 1)
 SELECT id, b AS building_id, f AS footprint FROM o WHERE b NOT IN (SELECT b FROM p) AND f NOT IN (SELECT f FROM p)""")
 def buildings_without_parts(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part")
-    outlines = p.where("p_partkey % 2 = 0").selectExpr("p_partkey AS id", "p_partkey % 200 AS building_id", "p_size * 100 + p_partkey % 7 AS footprint")
-    parts = p.where("p_partkey % 2 = 1 AND p_size > 30").selectExpr("p_partkey % 150 AS building_id", "p_size * 100 + p_partkey % 5 AS footprint")
+    outlines = p.where("p_partkey % 2 = 0").selectExpr("p_partkey AS id", "p_partkey % 500 AS building_id", "p_size * 100 + p_partkey % 7 AS footprint")
+    parts = p.where("p_partkey % 2 = 1").selectExpr("p_partkey % 151 AS building_id", "p_size * 100 + p_partkey % 5 AS footprint")
     return style.standalone(outlines, parts).select("id", "building_id", "footprint")
 
 

@@ -22,22 +22,30 @@ def zoom_fades(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), R6(scene.fade("roads", z), "roads"), R6(scene.fade("road_surface", z), "surface"), scene.vegetation(z).alias("vegetation"), scene.label_size(z).alias("label"))
 
 
-@query(f"""WITH {LEGS}, f AS (SELECT id, abs(lon2 - lon1) / 360 AS d, 0.01 + (id % 50) / 100.0::DOUBLE AS a, 0.02 + (id % 31) / 70.0::DOUBLE AS b FROM legs),
-r AS (SELECT *, ln(sqrt(pow((b * b - a * a + pow(1.42, 4) * d * d) / (2 * a * pow(1.42, 2) * d), 2) + 1) - (b * b - a * a + pow(1.42, 4) * d * d) / (2 * a * pow(1.42, 2) * d)) AS r0, -asinh((b * b - a * a - pow(1.42, 4) * d * d) / (2 * b * pow(1.42, 2) * d)) AS r1 FROM f WHERE d > 0.001)
-SELECT id, round((r1 - r0) / 1.42, 5) AS length, round(a * cosh(r0) / cosh((r0 + r1) / 2), 5) AS middle FROM r""")
+@query(f"""WITH {LEGS}, f AS (SELECT id, CASE WHEN id % 6 = 0 THEN 0.0 WHEN abs(lon2 - lon1) / 360 > 0.001 THEN abs(lon2 - lon1) / 360 ELSE 0.001 END::DOUBLE AS d, 0.01 + (id % 50) / 100.0::DOUBLE AS a, 0.02 + (id % 31) / 70.0::DOUBLE AS b FROM legs),
+r AS (SELECT *, ln(sqrt(pow((b * b - a * a + pow(1.42, 4) * d * d) / (2 * a * pow(1.42, 2) * d), 2) + 1) - (b * b - a * a + pow(1.42, 4) * d * d) / (2 * a * pow(1.42, 2) * d)) AS r0, -asinh((b * b - a * a - pow(1.42, 4) * d * d) / (2 * b * pow(1.42, 2) * d)) AS r1 FROM f WHERE d > 0)
+SELECT id, round((r1 - r0) / 1.42, 5) AS length, round(a * cosh(r0) / cosh((r0 + r1) / 2), 5) AS middle FROM r UNION ALL SELECT id, round(abs(ln(b) - ln(a)) / 1.42, 5), round(exp((ln(a) + ln(b)) / 2), 5) FROM f WHERE d = 0""")
 def camera_flights(spark: SparkSession, sf: str) -> DataFrame:
-    f = legs(spark, sf).selectExpr("id", "abs(lon2 - lon1) / 360 AS d", "0.01D + (id % 50) / CAST(100 AS DOUBLE) AS a", "0.02D + (id % 31) / CAST(70 AS DOUBLE) AS b").where("d > 0.001")
+    f = legs(spark, sf).selectExpr("id", "CASE WHEN id % 6 = 0 THEN 0D ELSE greatest(abs(lon2 - lon1) / 360, 0.001D) END AS d", "0.01D + (id % 50) / CAST(100 AS DOUBLE) AS a", "0.02D + (id % 31) / CAST(70 AS DOUBLE) AS b")
     return f.select("id", scene.flight(F.col("d"), F.col("a"), F.col("b")).alias("f")).select("id", F.round("f.length", 5).alias("length"), F.round("f.middle", 5).alias("middle"))
 
 
-@query("""SELECT p_partkey AS id, round(CASE WHEN w BETWEEN 20 AND 600 THEN w / 10.0 WHEN n >= 1 THEN least(n, 12) * 3.5 ELSE 6.0 END::DOUBLE, 4) AS width, CAST(((b - a + 180) % 360 + 360) % 360 - 180 AS DOUBLE) AS turn, round((x1 - x0) - floor(x1 - x0 + 0.5), 6) AS dx
-FROM (SELECT p_partkey, p_partkey % 700 AS w, p_size % 16 - 1 AS n, p_partkey % 360 AS a, p_size * 7 AS b, (p_partkey % 100) / 100.0::DOUBLE AS x0, (p_size % 40) / 40.0::DOUBLE AS x1 FROM part)""")
+_CLASSES = "['motorway', 'trunk', 'primary', 'secondary', 'tertiary', 'minor', 'service', 'path', 'track']"
+
+
+@query(f"""SELECT p_partkey AS id, round(CASE WHEN w BETWEEN 20 AND 600 THEN w / 10.0 ELSE CASE WHEN class IN ('motorway', 'trunk', 'primary', 'service') THEN 4.0 WHEN class IN ('secondary', 'tertiary') THEN 4.5 WHEN class = 'minor' THEN 5.0 ELSE NULL END
+  * CASE WHEN n IS NULL THEN CASE class WHEN 'motorway' THEN 4 WHEN 'trunk' THEN 3 WHEN 'primary' THEN 3 WHEN 'service' THEN 1 ELSE 2 END WHEN n < 1 THEN 1 WHEN n > 12 THEN 12 ELSE n END END::DOUBLE, 4) AS stated, CASE WHEN NOT w BETWEEN 20 AND 600 AND class IN ('path', 'track') THEN 2.0 END::DOUBLE AS walk, CAST(((b - a + 180) % 360 + 360) % 360 - 180 AS DOUBLE) AS turn, round((x1 - x0) - floor(x1 - x0 + 0.5), 6) AS dx
+FROM (SELECT p_partkey, p_partkey % 700 - 300 AS w, {_CLASSES}[p_partkey % 9 + 1] AS class, CASE WHEN p_partkey % 4 > 0 THEN p_size % 18 - 2 END AS n, p_partkey % 360 AS a, p_size * 7 AS b, (p_partkey % 100) / 100.0::DOUBLE AS x0, (p_size % 40) / 40.0::DOUBLE AS x1 FROM part)""")
 def widths_and_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Widths of carriageways by what is stated or usual for their class, and of walks, apart."""
     from tilewright.functions import geo
 
-    p = table(spark, sf, "part").selectExpr("p_partkey AS id", "p_partkey % 700 AS w", "p_size % 16 - 1 AS n", "CAST(p_partkey % 360 AS DOUBLE) AS a", "CAST(p_size * 7 AS DOUBLE) AS b", "(p_partkey % 100) / CAST(100 AS DOUBLE) AS x0", "(p_size % 40) / CAST(40 AS DOUBLE) AS x1")
+    classes = _CLASSES.replace("[", "(").replace("]", ")")
+    p = table(spark, sf, "part").selectExpr("p_partkey AS id", "p_partkey % 700 - 300 AS w", f"element_at(array{classes}, CAST(p_partkey % 9 + 1 AS INT)) AS class", "CASE WHEN p_partkey % 4 > 0 THEN p_size % 18 - 2 END AS n", "CAST(p_partkey % 360 AS DOUBLE) AS a", "CAST(p_size * 7 AS DOUBLE) AS b", "(p_partkey % 100) / CAST(100 AS DOUBLE) AS x0", "(p_size % 40) / CAST(40 AS DOUBLE) AS x1")
     c = F.col
-    return p.select("id", F.round(scene.road_width(c("w"), c("n"), 3.5, 6.0).cast("double"), 4).alias("width"), scene.bearing_delta(c("a"), c("b")).alias("turn"), R6(geo.shortest_world_x(c("x0"), c("x1")), "dx"))
+    width = F.round(scene.road_width(c("class"), c("w"), c("n")).cast("double"), 4)
+    walk = c("class").isin("path", "track") & ~c("w").between(20, 600)
+    return p.select("id", F.when(~walk, width).alias("stated"), F.when(walk, width).alias("walk"), scene.bearing_delta(c("a"), c("b")).alias("turn"), R6(geo.shortest_world_x(c("x0"), c("x1")), "dx"))
 
 
 @query(f"""WITH {WORLD}, t AS (SELECT DISTINCT {tile_sql(6)} FROM world), d AS (SELECT tx, ty, greatest(abs(tx - 20), abs(ty - 30)) AS distance FROM t)

@@ -26,24 +26,26 @@ def nearest_ready_ancestor(spark: SparkSession, sf: str) -> DataFrame:
     return tiles.nearest_ancestor(_tiles(spark, sf, 6), sources(spark, sf)).select("x", "y", "sz", "sx", "sy")
 
 
-@query(f"""WITH {WORLD}, t AS (SELECT DISTINCT {tile_sql(3)} FROM world), a AS (SELECT DISTINCT {tile_sql(6)} FROM world), r AS (SELECT DISTINCT z, tx >> (6 - z) AS x, ty >> (6 - z) AS y FROM a, (SELECT unnest([4, 5, 6]) AS z) WHERE (tx + ty) % 3 = 0 OR z = 6),
+@query(f"""WITH {WORLD}, t AS (SELECT DISTINCT {tile_sql(3)} FROM world), a AS (SELECT DISTINCT {tile_sql(6)} FROM world), r AS (SELECT DISTINCT z, tx >> (6 - z) AS x, ty >> (6 - z) AS y FROM a, (SELECT unnest([4, 5, 6]) AS z) WHERE (tx + ty) % 3 = 0 OR z = 6 UNION SELECT DISTINCT 12, tx, ty FROM (SELECT {tile_sql(12)} FROM world)),
 n AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM r p WHERE p.z < r.z AND r.x >> (r.z - p.z) = p.x AND r.y >> (r.z - p.z) = p.y))
 SELECT t.tx AS x, t.ty AS y, round(coalesce(sum(pow(4.0, -(n.z - 3))), 0), 6) AS share FROM t LEFT JOIN n ON n.x >> (n.z - 3) = t.tx AND n.y >> (n.z - 3) = t.ty GROUP BY ALL""")
 def covered_share(spark: SparkSession, sf: str) -> DataFrame:
     """How much of each tile its ready descendants cover; nested ones don't count twice."""
     a = _tiles(spark, sf, 6).withColumn("rz", F.explode(F.array(F.lit(4), F.lit(5), F.lit(6)))).where("(x + y) % 3 = 0 OR rz = 6")
-    ready = a.select(F.col("rz").alias("z"), F.expr("shiftright(x, 6 - rz)").alias("x"), F.expr("shiftright(y, 6 - rz)").alias("y")).distinct()
-    return tiles.covered_share(_tiles(spark, sf, 3), ready, 3).select("x", "y", F.round("share", 6).alias("share"))
+    ready = a.select(F.col("rz").alias("z"), F.expr("shiftright(x, 6 - rz)").alias("x"), F.expr("shiftright(y, 6 - rz)").alias("y")).unionByName(_tiles(spark, sf, 12).withColumn("z", F.lit(12))).distinct()
+    return tiles.covered_share(_tiles(spark, sf, 3), ready).select("x", "y", F.round("share", 6).alias("share"))
 
 
-@query(f"""WITH {WORLD}, t AS (SELECT DISTINCT {tile_sql(4)} FROM world), r AS (SELECT DISTINCT {tile_sql(6)} FROM world WHERE id % 4 = 0),
+@query(f"""WITH {WORLD}, t AS (SELECT DISTINCT {tile_sql(4)} FROM world), r AS (SELECT DISTINCT tx >> (9 - z) AS tx, ty >> (9 - z) AS ty, z FROM (SELECT {tile_sql(9)}, CASE WHEN id % 8 = 0 THEN 9 ELSE 6 END AS z FROM world WHERE id % 4 = 0)),
 c5 AS (SELECT 2 * tx + i % 2 AS x, 2 * ty + i // 2 AS y FROM t, (SELECT unnest([0, 1, 2, 3]) AS i)), c6 AS (SELECT 2 * x + i % 2 AS x, 2 * y + i // 2 AS y FROM c5, (SELECT unnest([0, 1, 2, 3]) AS i)),
-g AS (SELECT 4 AS z, tx AS x, ty AS y FROM t WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.tx >> 2 = t.tx AND r.ty >> 2 = t.ty)
- UNION ALL SELECT 5, x, y FROM c5 WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.tx >> 1 = c5.x AND r.ty >> 1 = c5.y) AND EXISTS (SELECT 1 FROM r WHERE r.tx >> 2 = c5.x >> 1 AND r.ty >> 2 = c5.y >> 1)
- UNION ALL SELECT 6, x, y FROM c6 WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.tx = c6.x AND r.ty = c6.y) AND EXISTS (SELECT 1 FROM r WHERE r.tx >> 1 = c6.x >> 1 AND r.ty >> 1 = c6.y >> 1))
+g AS (SELECT 4 AS z, tx AS x, ty AS y FROM t WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.tx >> (r.z - 4) = t.tx AND r.ty >> (r.z - 4) = t.ty)
+ UNION ALL SELECT 5, x, y FROM c5 WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.tx >> (r.z - 5) = c5.x AND r.ty >> (r.z - 5) = c5.y) AND EXISTS (SELECT 1 FROM r WHERE r.tx >> (r.z - 4) = c5.x >> 1 AND r.ty >> (r.z - 4) = c5.y >> 1)
+ UNION ALL SELECT 6, x, y FROM c6 WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.tx >> (r.z - 6) = c6.x AND r.ty >> (r.z - 6) = c6.y) AND EXISTS (SELECT 1 FROM r WHERE r.tx >> (r.z - 5) = c6.x >> 1 AND r.ty >> (r.z - 5) = c6.y >> 1))
 SELECT CAST(z AS INTEGER) AS z, x, y FROM g""")
 def uncovered_slots(spark: SparkSession, sf: str) -> DataFrame:
-    ready = tiles_of(points(spark, sf).where("id % 4 = 0"), 6)
+    """Slots that no ready tile fills; ready tiles lie two and five levels below the targets, and slots end two below."""
+    p = points(spark, sf).where("id % 4 = 0")
+    ready = tiles_of(p.where("id % 8 <> 0"), 6).withColumn("z", F.lit(6)).unionByName(tiles_of(p.where("id % 8 = 0"), 9).withColumn("z", F.lit(9)))
     return tiles.gaps(_tiles(spark, sf, 4), ready, 2)
 
 
@@ -125,14 +127,8 @@ def load_status(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy("user_id").agg(F.count_if(kind == "error").alias("failed"), F.count_if(kind == "purchase").alias("ready"), F.sum(F.col("event_id") % 1000).alias("bytes"), F.max_by("event_type", "event_id").alias("latest"), F.count_if(kind.isin("click", "view")).alias("loading"))
 
 
-@query("WITH a AS (SELECT l_partkey % 700 AS id, ['n' || l_suppkey % 50, 'm' || l_linenumber] AS alias FROM lineitem WHERE l_orderkey % 9 = 0), b AS (SELECT DISTINCT 'n' || s_suppkey % 7 AS name FROM supplier) SELECT id, alias[1] AS first_alias, count(*) AS n FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE list_contains(alias, name)) GROUP BY ALL")
-def labels_without_alias(spark: SparkSession, sf: str) -> DataFrame:
-    """Labels of which no name is among the shipped ones, over every ninth order as its SQL has it; every_label_without_alias has all."""
-    return _without_alias(spark, sf, table(spark, sf, "lineitem").where("l_orderkey % 9 = 0"))
-
-
 @query("WITH a AS (SELECT l_partkey % 700 AS id, 'n' || l_suppkey % 50 AS first_alias, 'm' || l_linenumber AS second_alias FROM lineitem), b AS (SELECT DISTINCT 'n' || s_suppkey % 7 AS name FROM supplier) SELECT id, first_alias, count(*) AS n FROM a WHERE first_alias NOT IN (SELECT name FROM b) AND second_alias NOT IN (SELECT name FROM b) GROUP BY ALL")
-def every_label_without_alias(spark: SparkSession, sf: str) -> DataFrame:
+def labels_without_alias(spark: SparkSession, sf: str) -> DataFrame:
     """Labels of which no name is among the shipped ones, over all rows."""
     return _without_alias(spark, sf, table(spark, sf, "lineitem"))
 

@@ -54,14 +54,30 @@ def geometry_length(p):
     return F.aggregate(F.transform(F.sequence(F.lit(0), F.size(p) - 2), step), F.lit(0.0), lambda a, x: a + x)
 
 
-@query("SELECT CAST(l_suppkey AS BIGINT) AS tile, count(DISTINCT l_orderkey) AS streets, CAST(sum(l_linenumber) AS DOUBLE) AS length FROM lineitem GROUP BY l_suppkey")
+_LINES = "s AS (SELECT l_suppkey AS tile, l_orderkey AS street, l_linenumber AS n, row_number() OVER w AS seq, sum(l_linenumber) OVER w AS b FROM lineitem WINDOW w AS (PARTITION BY l_suppkey, l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice))"
+
+
+@query(f"""WITH {_LINES}, c AS (SELECT *, coalesce(sum(CASE WHEN (street + seq) % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY tile, street ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chain FROM s)
+SELECT tile, street, CAST(min(b - n) AS DOUBLE) AS start, CAST(sum(n) AS DOUBLE) AS length, count(*) + 1 AS points FROM c GROUP BY tile, street, chain""")
 def street_stitching(spark: SparkSession, sf: str) -> DataFrame:
-    """Pieces of a street, each from where the last one ended, become one line: none of its length is lost."""
+    """Pieces of a street, each from where the last one ended, become one line, but not across a point where a road without a name ends too; a footpath there changes nothing."""
     from pyspark.sql import Window as W
 
     by = W.partitionBy("l_suppkey", "l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice")
     end = F.sum("l_linenumber").over(by.rowsBetween(W.unboundedPreceding, 0)).cast("double")
     rows = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("tile"), F.col("l_orderkey").alias("street"), F.row_number().over(by).alias("seq"), end.alias("b"), F.col("l_linenumber").cast("double").alias("n"))
-    at = lambda x: F.struct(x.alias("x"), F.col("street").cast("double").alias("y"))
-    pieces = rows.select("tile", "street", "seq", F.array(at(F.col("b") - F.col("n")), at(F.col("b"))).alias("pts"))
-    return shapes.stitched(pieces, "tile").groupBy("tile").agg(F.count(F.lit(1)).alias("streets"), F.sum(geometry.length("pts")).alias("length"))
+    y = F.col("street").cast("double")
+    at = lambda x, up=0.0: F.struct(x.alias("x"), (y + up).alias("y"))
+    pieces = rows.select("tile", "street", "seq", F.array(at(F.col("b") - F.col("n")), at(F.col("b"))).alias("pts"), F.lit(True).alias("drives"))
+    side = rows.where("(street + seq) % 3 < 2").select("tile", F.lit(None).cast("bigint").alias("street"), (F.col("seq") + 1000).alias("seq"), F.array(at(F.col("b")), at(F.col("b"), 0.5)).alias("pts"), F.expr("(street + seq) % 3 = 0").alias("drives"))
+    got = shapes.stitched(pieces.unionByName(side), "tile").where("street IS NOT NULL")
+    return got.select("tile", F.col("street").cast("bigint").alias("street"), F.array_min(F.transform("pts", lambda p: p["x"])).alias("start"), geometry.length("pts").alias("length"), F.size("pts").cast("bigint").alias("points"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS id, abs(c_acctbal) AS total, CAST(c_custkey % 400 AS DOUBLE) AS width FROM customer), f AS (SELECT *, greatest(400.0, least(width, total) / 2) AS first, total - least(width, total) / 2 AS last FROM c WHERE width > 0 AND total > 0)
+SELECT id, 0 AS nth, round(total / 2, 6) AS at FROM f WHERE total <= 800 UNION ALL SELECT id, CAST(k AS INTEGER), round(first + 800 * k, 6) FROM f, generate_series(0, 6) g(k) WHERE total > 800 AND first + 800 * k <= last""")
+def road_label_anchors(spark: SparkSession, sf: str) -> DataFrame:
+    """Where labels stand on a street of each length: one in the middle of a short one, and others every 800 units, seven at most."""
+    end = F.struct(F.abs("c_acctbal").alias("x"), F.lit(0.0).alias("y"))
+    rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), end).alias("line"), F.expr("CAST(c_custkey % 400 AS DOUBLE)").alias("width"))
+    return shapes.label_anchors(rows, "line", "width").select("id", F.posexplode("anchors").alias("nth", "at")).select("id", "nth", F.round("at", 6).alias("at"))

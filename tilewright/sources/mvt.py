@@ -208,6 +208,87 @@ def features(tiles: DataFrame) -> DataFrame:
     return tiles.select(*[F.col(c).cast("int").alias(c) for c in ("z", "x", "y")], "content").mapInArrow(run, _SCHEMA)
 
 
+# --- encoding -------------------------------------------------------------------
+
+
+def _varint(n: int) -> bytes:
+    n &= 0xFFFFFFFFFFFFFFFF
+    out = bytearray()
+    while n > 0x7F:
+        out.append(n & 0x7F | 0x80)
+        n >>= 7
+    out.append(n)
+    return bytes(out)
+
+
+def _field(number: int, wire: int, payload: bytes) -> bytes:
+    return _varint(number << 3 | wire) + (_varint(len(payload)) if wire == BYTES else b"") + payload
+
+
+def _zigzag(n: int) -> int:
+    return (n << 1 ^ n >> 63) & 0xFFFFFFFF
+
+
+_ENCODED = {
+    "s": lambda v: _field(1, BYTES, v.encode()),
+    "f": lambda v: _field(2, FIXED32, struct.pack("<f", v)),
+    "d": lambda v: _field(3, FIXED64, struct.pack("<d", v)),
+    "i": lambda v: _field(4, VARINT, _varint(v)),
+    "u": lambda v: _field(5, VARINT, _varint(int(v))),
+    "si": lambda v: _field(6, VARINT, _varint((v << 1 ^ v >> 63) & 0xFFFFFFFFFFFFFFFF)),
+    "b": lambda v: _field(7, VARINT, _varint(int(v))),
+}
+
+
+def commands(kind: str, parts: list[list[tuple[int, int]]]) -> list[int]:
+    """Drawing commands of points (one part), lines, or rings."""
+    out, x, y = [], 0, 0
+    for part in parts:
+        for i, (px, py) in enumerate(part):
+            if i == 0:
+                out.append((len(part) if kind == "point" else 1) << 3 | 1)
+            elif i == 1 and kind != "point":
+                out.append((len(part) - 1) << 3 | 2)
+            out += [_zigzag(px - x), _zigzag(py - y)]
+            x, y = px, py
+        if kind == "polygon":
+            out.append(15)
+    return out
+
+
+def _layer(name: str, extent: int, rows: list[dict]) -> bytes:
+    keys: dict[str, int] = {}
+    values: dict[bytes, int] = {}
+    body = [_field(1, BYTES, name.encode()), _field(15, VARINT, _varint(2))]
+    number = {k: n for n, k in KINDS.items()}
+    for r in rows:
+        tags = []
+        for key, value in r["props"] or ():
+            one = next(((k, v) for k, v in value.items() if v is not None), None)
+            if one:
+                tags += [keys.setdefault(key, len(keys)), values.setdefault(_ENCODED[one[0]](one[1]), len(values))]
+        parts = [[(p["x"], p["y"]) for p in part] for part in r["parts"] or ()]
+        head = _field(1, VARINT, _varint(int(r["feature_id"]))) if r["feature_id"] is not None else b""
+        body.append(_field(2, BYTES, head + _field(2, BYTES, b"".join(map(_varint, tags))) + _field(3, VARINT, _varint(number[r["geom_type"]])) + _field(4, BYTES, b"".join(map(_varint, commands(r["geom_type"], parts))))))
+    body += [_field(3, BYTES, k.encode()) for k in keys] + [_field(4, BYTES, v) for v in values] + [_field(5, VARINT, _varint(extent))]
+    return _field(3, BYTES, b"".join(body))
+
+
+def encoded(rows: DataFrame) -> DataFrame:
+    """(z, x, y, content) of features (z, x, y, layer, extent, feature_idx, feature_id, geom_type, props, parts): one vector
+    tile for each tile, whose features bound a group. A property has the one value that isn't null."""
+
+    def run(key: tuple, got: pa.Table) -> pa.Table:
+        layers: dict[tuple, list[dict]] = {}
+        for r in sorted(got.to_pylist(), key=lambda r: (r["layer"], r["feature_idx"])):
+            layers.setdefault((r["layer"], r["extent"]), []).append(r)
+        content = b"".join(_layer(name, extent, rows) for (name, extent), rows in layers.items())
+        return pa.table({"z": pa.array([key[0].as_py()], pa.int32()), "x": pa.array([key[1].as_py()], pa.int32()), "y": pa.array([key[2].as_py()], pa.int32()), "content": pa.array([content], pa.binary())})
+
+    flat = rows.select(*[F.col(c).cast("int").alias(c) for c in ("z", "x", "y")], "layer", "extent", "feature_idx", "feature_id", "geom_type", "props", "parts")
+    return flat.groupBy("z", "x", "y").applyInArrow(run, "z int, x int, y int, content binary")
+
+
 # --- geometry commands ------------------------------------------------------------
 
 
