@@ -27,6 +27,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def checkpointing(spark: SparkSession) -> None:
+    """Checkpoints go to the folder that the session names; where none is, to the warehouse, which a cluster shares, or in local mode to a temporary one."""
+    context = spark.sparkContext
+    if context.getCheckpointDir():
+        return
+    named = context.getConf().get("spark.checkpoint.dir")
+    if not named and context.master.startswith("local"):
+        import tempfile
+
+        named = tempfile.mkdtemp(prefix="tilewright-")
+    context.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tilewright-checkpoints")
+
+
 def lon_of(k: str):
     return F.expr(f"(({k} * 137) % 360) - 180 + (({k} * 31) % 100) / CAST(100 AS DOUBLE)")
 

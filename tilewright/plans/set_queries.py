@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tilewright.operators import cache, lifecycle, spatial, tiles
 from tilewright.plans.geo_queries import _tiles
-from tilewright.plans.registry import WORLD, points, query, table, tile_sql
+from tilewright.plans.registry import WORLD, checkpointing, points, query, table, tile_sql
 
 # --- placement ------------------------------------------------------------------
 
@@ -201,10 +201,7 @@ def near_pairs(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH RECURSIVE {WORLD}, s AS (SELECT id, x * 4096 AS px, y * 4096 AS py FROM world), e AS (SELECT a.id AS a, b.id AS b FROM s a JOIN s b ON a.id <> b.id AND sqrt(pow(a.px - b.px, 2) + pow(a.py - b.py, 2)) <= 20), r AS (SELECT id, id AS root FROM s UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id), c AS (SELECT id, min(root) AS cluster FROM r GROUP BY id) SELECT cluster, count(*) AS n, round(avg(px), 6) AS x, round(avg(py), 6) AS y, round(min(px), 6) AS x0, round(max(px), 6) AS x1, round(min(py), 6) AS y0, round(max(py), 6) AS y1 FROM c JOIN s USING (id) GROUP BY cluster")
 def marker_clusters(spark: SparkSession, sf: str) -> DataFrame:
     p = plane(spark, sf)
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tilewright-"))
+    checkpointing(spark)
     c = spatial.cluster_summary(p, spatial.clusters(p, 20.0))
     return c.select("cluster", "n", *[F.round(k, 6).alias(k) for k in ("x", "y", "x0", "x1", "y0", "y1")])
 
