@@ -23,11 +23,12 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset the warehouse, which a cluster shares, or in local mode a temporary folder."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tilewright-"))
+        local = context.master.startswith("local")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tilewright-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tilewright-checkpoints")
         named = context.getCheckpointDir()
     return named.rstrip("/")
 
