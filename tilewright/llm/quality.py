@@ -145,7 +145,7 @@ def _judged(body: DataFrame, least: int) -> DataFrame:
     fine = written(sketches(rated), "sketches")
     levels = [(fences(fine, ["_lang", "_source"], least), ["_lang", "_source"]), (fences(merged(fine, "_lang"), ["_lang"], least), ["_lang"]), (fences(merged(fine), [], 0), [])]
     # a row for each language and source that occurs, with what each level tells
-    chosen = fine.select("_lang", "_source").distinct()
+    chosen = rated.select("_lang", "_source").distinct()
     for i, (level, by) in enumerate(levels):
         level = level.select(*[F.col(k).alias(f"k{k}") for k in by], F.col("low").alias(f"low{i}"), F.col("high").alias(f"high{i}"))
         same = F.lit(True)

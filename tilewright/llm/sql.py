@@ -67,12 +67,10 @@ z AS (SELECT x.r, x.ratio, x.pos, coalesce(a.high, b.high, c.high) AS high, coal
       FROM x LEFT JOIN e a ON a.level = 1 AND a.lang IS NOT DISTINCT FROM x.lang AND a.source IS NOT DISTINCT FROM x.source AND a.ratio = x.ratio
              LEFT JOIN e b ON b.level = 2 AND b.lang IS NOT DISTINCT FROM x.lang AND b.ratio = x.ratio
              LEFT JOIN e c ON c.level = 3 AND c.ratio = x.ratio),
-g1 AS (SELECT DISTINCT lang, source FROM v WHERE NOT base_failed),
 y AS (SELECT r, bool_or(coalesce(pos > high, false) OR coalesce(pos < low, false)) AS beyond, max(high) FILTER (ratio = 'mark_ratio') AS f1, max(high) FILTER (ratio = 'dup_line_ratio') AS f2,
         max(high) FILTER (ratio = 'repeat_ratio') AS f3, max(high) FILTER (ratio = 'word_length') AS f4 FROM z GROUP BY r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(beyond, false) AS kept,
   CAST(mark_ratio AS BIGINT) AS mark_ratio, CAST(dup_line_ratio AS BIGINT) AS dup_line_ratio, CAST(repeat_ratio AS BIGINT) AS repeat_ratio, CAST(word_length AS BIGINT) AS word_length,
-  CAST(CASE WHEN g1.hit THEN f1 END AS BIGINT) AS mark_ratio_fence, CAST(CASE WHEN g1.hit THEN f2 END AS BIGINT) AS dup_line_ratio_fence,
-  CAST(CASE WHEN g1.hit THEN f3 END AS BIGINT) AS repeat_ratio_fence, CAST(CASE WHEN g1.hit THEN f4 END AS BIGINT) AS word_length_fence
-FROM v LEFT JOIN y ON v.r = y.r LEFT JOIN (SELECT *, true AS hit FROM g1) g1 ON g1.lang IS NOT DISTINCT FROM v.lang AND g1.source IS NOT DISTINCT FROM v.source
+  CAST(f1 AS BIGINT) AS mark_ratio_fence, CAST(f2 AS BIGINT) AS dup_line_ratio_fence, CAST(f3 AS BIGINT) AS repeat_ratio_fence, CAST(f4 AS BIGINT) AS word_length_fence
+FROM v LEFT JOIN y ON v.r = y.r
 """
