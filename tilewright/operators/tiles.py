@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -116,10 +118,10 @@ def first_seen(parts: list[DataFrame], *key: str) -> DataFrame:
 # --- paths ----------------------------------------------------------------------
 
 
-def cumulative_angles(waypoints: DataFrame) -> DataFrame:
+def cumulative_angles(waypoints: DataFrame, between: Callable[..., Column] = geo.central_angle) -> DataFrame:
     """(path_id, i, lat, lon, lat0, lon0, angle, cumulative) of waypoints (path_id, place, lat, lon); ones that repeat their predecessor are left out."""
     by = W.partitionBy("path_id").orderBy("place")
-    angle = lambda: geo.central_angle(F.col("lat0"), F.col("lon0"), F.col("lat"), F.col("lon"))
+    angle = lambda: between(F.col("lat0"), F.col("lon0"), F.col("lat"), F.col("lon"))
     before = waypoints.withColumns({"lat0": F.lag("lat").over(by), "lon0": F.lag("lon").over(by)})
     real = before.withColumn("angle", F.when(F.col("lat0").isNull(), 0.0).otherwise(angle())).where(F.col("lat0").isNull() | (F.col("angle") > geo.DEGENERATE_ANGLE))
     return real.withColumns({"i": F.row_number().over(by), "cumulative": F.sum("angle").over(by.rowsBetween(W.unboundedPreceding, 0))}).drop("place")
